@@ -8,6 +8,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NORMAL = NormalDist()
 P_SHIFT = 1e-15  # fixed value added before the normal quantile
@@ -55,12 +56,12 @@ def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
     return float(min(1.0, p[p <= p[int(a - lo)] * (1 + 1e-7)].sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)), na_action="ignore").astype(float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series(
         [fisher_two_sided(int(i), int(j), int(k), int(m)) for i, j, k, m in zip(a, b, c, d)],
@@ -68,7 +69,7 @@ def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Serie
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def abs_quantile_of_half_p(p: pd.Series) -> pd.Series:
     """|normal quantile of P/2|, the display z of an exact test."""
 

@@ -18,8 +18,8 @@ Z_PREVALENCE = (0.05, 0.95)  # fixed values
 
 
 def with_rest(counts: DataFrame) -> DataFrame:
-    """Add feature totals ``N``, ``ones`` to ``(feature, label, n, n1)``."""
-    totals = counts.groupBy("feature").agg(F.sum("n").alias("N"), F.sum("n1").alias("ones"))
+    """Add feature totals ``n_all``, ``ones`` to ``(feature, label, n, n1)``."""
+    totals = counts.groupBy("feature").agg(F.sum("n").alias("n_all"), F.sum("n1").alias("ones"))
     return counts.join(totals, "feature")
 
 
@@ -27,7 +27,7 @@ def enrichment_tests(counts: DataFrame) -> DataFrame:
     """Unadjusted rows ``feature, label, Prev_Global, Prev_Cluster, Z, P, Test``."""
     t = (
         with_rest(counts)
-        .withColumn("pg", F.col("ones") / F.col("N"))
+        .withColumn("pg", F.col("ones") / F.col("n_all"))
         .withColumn("pc", F.col("n1") / F.col("n"))
     )
     use_z = (F.col("n") >= MIN_CLUSTER_FOR_Z) & F.col("pg").between(*Z_PREVALENCE)
@@ -36,7 +36,7 @@ def enrichment_tests(counts: DataFrame) -> DataFrame:
     t = t.withColumn("z0", F.when(use_z, (F.col("pc") - F.col("pg")) / se))
     a = F.rint(F.col("n1"))
     c = F.greatest(F.lit(0.0), F.rint(F.col("ones")) - a)
-    d = F.greatest(F.lit(0.0), F.col("N") - F.col("n") - c)
+    d = F.greatest(F.lit(0.0), F.col("n_all") - F.col("n") - c)
     # two branches, so the exact test only runs on the rows that need it
     z_rows = t.where(use_z).withColumn("P", normal_two_sided("z0")).withColumn("z1", F.col("z0"))
     exact = t.where(~use_z).withColumn("P", fisher_p(a, F.col("n") - a, c, d))
@@ -144,7 +144,8 @@ def adjust_p(tests: DataFrame, p_col: str = "P", method: str = "fdr_bh") -> Data
         adj = _running(d, -F.expm1((m - F.col("before")) * F.log1p(-p)), False)
     else:
         raise ValueError(f"unsupported correction method: {method}")
-    return tests.join(adj, F.col(p_col) == adj["p"], "left").drop(adj["p"])
+    adj = adj.withColumnRenamed("p", "__p")
+    return tests.join(adj, F.col(p_col) == F.col("__p"), "left").drop("__p")
 
 
 # ------------------------------------------------------------- effect sizes
@@ -162,7 +163,7 @@ def magnitude(delta: Column) -> Column:
 def cliff_delta(counts: DataFrame) -> DataFrame:
     """Cliff's delta of cluster versus rest: for 0/1 data the difference of prevalences."""
     t = with_rest(counts)
-    n_out, ones_out = F.col("N") - F.col("n"), F.col("ones") - F.col("n1")
+    n_out, ones_out = F.col("n_all") - F.col("n"), F.col("ones") - F.col("n1")
     delta = F.when(n_out > 0, F.col("n1") / F.col("n") - ones_out / n_out).otherwise(0.0)
     return t.select(
         F.col("feature").alias("Feature"),

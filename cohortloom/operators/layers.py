@@ -372,7 +372,7 @@ def row_vectors(layer: TraitLayer) -> DataFrame:
     return rows.select("id", dense_row(F.coalesce("ones", F.array().cast("array<int>")), F.col("p").cast("int")).alias("x"))
 
 
-@F.pandas_udf("array<tinyint>")
+@F.pandas_udf(T.ArrayType(T.ByteType()))
 def dense_row(ones: pd.Series, p: pd.Series) -> pd.Series:
     width = int(p.iloc[0]) if len(p) else 0
     out = np.zeros((len(ones), width), dtype=np.int8)

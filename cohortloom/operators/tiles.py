@@ -15,11 +15,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TILE_ROWS = 2048
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack_bits(x: pd.Series) -> pd.Series:
     if not len(x):
         return pd.Series([], dtype=object)

@@ -254,7 +254,7 @@ def _segment_counts(spark, sf):
 
 @query(
     "enrichment_counts",
-    f"WITH {SEG_COUNTS_SQL} SELECT feature, label, n::BIGINT AS n, n1::DOUBLE AS n1, nn::BIGINT AS \"N\", ones::DOUBLE AS ones FROM g",
+    f"WITH {SEG_COUNTS_SQL} SELECT feature, label, n::BIGINT AS n, n1::DOUBLE AS n1, nn::BIGINT AS n_all, ones::DOUBLE AS ones FROM g",
 )
 def enrichment_counts(spark, sf):
     return E.with_rest(_segment_counts(spark, sf))
@@ -265,24 +265,16 @@ def enrichment_counts(spark, sf):
     f"""WITH {EMB_COUNTS_SQL}, g AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS nn, sum(n1) OVER (PARTITION BY feature) AS ones FROM fc),
   r AS (SELECT feature, label, ones / nn AS pg, n1 / n AS pc, n FROM g)
   SELECT feature::BIGINT AS "Feature", label::BIGINT AS "Cluster", round_even(pg, 4) AS "Prev_Global", round_even(pc, 4) AS "Prev_Cluster",
-  round((pc - pg) / sqrt(pg * (1 - pg) / n), 3) + 0.0 AS z FROM r WHERE n >= 30 AND pg BETWEEN 0.05 AND 0.95""",
+  round_even((pc - pg) / sqrt(pg * (1 - pg) / n), 4) + 0.0 AS z FROM r WHERE n >= 30 AND pg BETWEEN 0.05 AND 0.95""",
 )
 def enrichment_z(spark, sf):
     df = E.enrichment_tests(_emb_counts(spark, sf)).where("Test = 'z'")
-    t = E.with_rest(_emb_counts(spark, sf)).select(
-        F.col("feature").alias("Feature"), F.col("label").alias("Cluster"),
-        ((F.col("n1") / F.col("n") - F.col("ones") / F.col("N")) / F.sqrt(F.col("ones") / F.col("N") * (1 - F.col("ones") / F.col("N")) / F.col("n"))).alias("z0"),
-    )
-    j = df.join(t, ["Feature", "Cluster"]).where(F.abs(F.col("Z") - F.col("z0")) < 6e-5)
-    return j.select(
+    return df.select(
         F.col("Feature").cast("bigint").alias("Feature"), F.col("Cluster").cast("bigint").alias("Cluster"),
-        "Prev_Global", "Prev_Cluster", (F.round("z0", 3) + F.lit(0.0)).alias("z"),
+        "Prev_Global", "Prev_Cluster", (F.col("Z") + F.lit(0.0)).alias("z"),
     )
 
 
-LGAMMA = "(lgamma({0} + 1))"
-
-
 @query(
     "fisher_exact",
     """WITH k AS (SELECT p_brand AS feature, p_type AS label, count(*) AS a FROM part GROUP BY 1, 2),
