@@ -1,0 +1,320 @@
+"""Kernel, consensus, fusion, tree and topology queries on whole layers.
+
+The row sums and neighbours are checked against all-pairs SQL. Clustering whose
+labels depend on iterative numerics has no SQL form and is checked by tests.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cohortloom.operators import consensus as C
+from cohortloom.operators import fusion as U
+from cohortloom.operators import phylo as P
+from cohortloom.operators import strength, topology
+from cohortloom.operators import tiles as T
+from cohortloom.operators.layers import row_vectors
+from cohortloom.plans import testbed as B
+from cohortloom.plans.catalog import query
+
+POP_SQL = """e AS (SELECT CAST(vec_id AS VARCHAR) AS id, label, list_transform(embedding, v -> (v > 0)::INT) AS x FROM embeddings),
+  s AS (SELECT *, list_sum(x) AS n1 FROM e),
+  pr AS (SELECT a.id AS i, b.id AS j, a.label AS la, b.label AS lb, list_dot_product(a.x::DOUBLE[], b.x::DOUBLE[]) AS both, a.n1 AS na, b.n1 AS nb FROM s a, s b)"""
+
+
+def _kernel_sql(value: str, order: str) -> str:
+    return f"""WITH {POP_SQL}, k AS (SELECT i, j, {value} AS v FROM pr),
+  n AS (SELECT i, j, v, row_number() OVER (PARTITION BY i ORDER BY {order}, j) AS r FROM k WHERE i != j)
+  SELECT i AS id, round(sum(k.v), 6) AS row_sum, any_value(n.j) AS nn_id, round(any_value(n.v), 6) AS nn_value FROM k JOIN n USING (i) WHERE n.r = 1 GROUP BY i"""
+
+
+@query("jaccard_kernel_rows", _kernel_sql("both / greatest(na + nb - both, 1)", "v DESC"))
+def jaccard_kernel_rows(spark, sf):
+    """Degree and nearest neighbour of every sample under the Jaccard kernel."""
+    df = T.kernel_rows(B.emb_rows(spark, sf), "jaccard")
+    return df.select("id", F.round("row_sum", 6).alias("row_sum"), "nn_id", F.round("nn_value", 6).alias("nn_value"))
+
+
+@query("hamming_distance_rows", _kernel_sql("(na + nb - 2 * both) / 64", "v"))
+def hamming_distance_rows(spark, sf):
+    df = T.kernel_rows(B.emb_rows(spark, sf), "hamming")
+    return df.select("id", F.round("row_sum", 6).alias("row_sum"), "nn_id", F.round("nn_value", 6).alias("nn_value"))
+
+
+@query(
+    "jaccard_matrix_moments",
+    f"""WITH {POP_SQL}, k AS (SELECT i, both / greatest(na + nb - both, 1) AS v FROM pr)
+  SELECT i AS id, count(*)::BIGINT AS n, round(sum(v), 6) AS total, round(sum(v * v), 6) AS squares, round(min(v), 6) AS low FROM k GROUP BY i""",
+)
+def jaccard_matrix_moments(spark, sf):
+    """The stored matrix segments, read back as per-row moments."""
+    m = T.kernel_matrix(B.emb_rows(spark, sf), "jaccard")
+    per = m.select(
+        "id",
+        F.size("vals").alias("n"),
+        F.expr("aggregate(vals, 0D, (s, v) -> s + v)").alias("t"),
+        F.expr("aggregate(vals, 0D, (s, v) -> s + v * v)").alias("q"),
+        F.array_min("vals").alias("l"),
+    )
+    return per.groupBy("id").agg(
+        F.sum("n").cast("bigint").alias("n"), F.round(F.sum("t"), 6).alias("total"), F.round(F.sum("q"), 6).alias("squares"), F.round(F.min("l"), 6).alias("low")
+    )
+
+
+@query(
+    "phi_pairs",
+    """WITH c AS (SELECT vec_id, unnest(range(64)) AS f, unnest(embedding) > 0 AS v FROM embeddings), h AS (SELECT vec_id, f FROM c WHERE v),
+  n AS (SELECT count(*)::DOUBLE AS n FROM embeddings), o AS (SELECT f, count(*)::DOUBLE AS c FROM h GROUP BY 1),
+  q AS (SELECT a.f AS fi, b.f AS fj, count(*)::DOUBLE AS b11 FROM h a JOIN h b ON a.vec_id = b.vec_id AND a.f < b.f GROUP BY 1, 2)
+  SELECT fi::BIGINT AS fi, fj::BIGINT AS fj, b11::BIGINT AS n11,
+  round((n * b11 - x.c * y.c) / sqrt(x.c * (n - x.c) * y.c * (n - y.c)), 6) + 0.0 AS phi FROM q JOIN o x ON x.f = fi JOIN o y ON y.f = fj, n""",
+)
+def phi_pairs(spark, sf):
+    df = T.phi_pairs(B.emb_rows(spark, sf))
+    return df.select("fi", "fj", "n11", (F.round("phi", 6) + F.lit(0.0)).alias("phi"))
+
+
+@query(
+    "informative_prevalence",
+    """WITH c AS (SELECT unnest(range(64)) AS f, unnest(embedding) > 0 AS v FROM embeddings), p AS (SELECT f, avg(v::INT) AS p FROM c GROUP BY 1)
+  SELECT count(*)::BIGINT AS p, count(CASE WHEN p > 0.01 AND p < 0.99 THEN 1 END)::BIGINT AS informative_features, round(avg(p), 6) AS mean_prevalence FROM p""",
+)
+def informative_prevalence(spark, sf):
+    cells = B.emb_rows(spark, sf).select(F.posexplode("x").alias("f", "v"))
+    p = cells.groupBy("f").agg(F.avg("v").alias("p"))
+    return p.agg(
+        F.count("*").alias("p"),
+        F.count_if((F.col("p") > 0.01) & (F.col("p") < 0.99)).alias("informative_features"),
+        F.round(F.avg("p"), 6).alias("mean_prevalence"),
+    )
+
+
+@query(
+    "silhouette_given_labels",
+    f"""WITH {POP_SQL}, d AS (SELECT i, la, lb, avg((na + nb - 2 * both) / 64.0) AS m, count(*) AS c FROM pr WHERE i != j GROUP BY 1, 2, 3),
+  ab AS (SELECT i, la AS label, max(CASE WHEN la = lb THEN m END) AS a, min(CASE WHEN la != lb THEN m END) AS b FROM d GROUP BY 1, 2)
+  SELECT i AS id, label::INTEGER AS label, round(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END, 6) + 0.0 AS s FROM ab""",
+)
+def silhouette_given_labels(spark, sf):
+    rows = B.emb_rows(spark, sf).withColumn("k", F.lit(1))
+    return T.silhouette_rows(rows, ["k"]).select("id", "label", (F.round("s", 6) + F.lit(0.0)).alias("s"))
+
+
+# ------------------------------------------------------------------ consensus
+
+TRAIT_K = 3
+
+
+def _register():
+    C.register_algorithm("trait_sum", lambda X, k, seed: X.sum(1).astype(int) % k)
+
+
+RUN_SQL = f"""r AS (SELECT unnest(range(12)) AS run), e AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_sum(list_transform(embedding, v -> (v > 0)::INT)) % {TRAIT_K} AS l FROM embeddings),
+  d AS (SELECT run, id, l, row_number() OVER (PARTITION BY run ORDER BY md5('42:' || run || ':' || id), id) AS k, count(*) OVER (PARTITION BY run) AS n FROM e, r),
+  m AS (SELECT run, id, l FROM d WHERE k <= greatest(2, floor(n * 0.8))),
+  c AS (SELECT a.id AS i, b.id AS j, any_value(a.l) AS la, any_value(b.l) AS lb, count(*) AS seen, sum((a.l = b.l)::INT) AS same FROM m a JOIN m b USING (run) GROUP BY 1, 2)"""
+
+
+def _custom_hist(spark, sf):
+    _register()
+    rows = B.emb_rows(spark, sf)
+    n = rows.count()
+    lab = C.run_labels(rows, ["trait_sum"], [TRAIT_K], range(12), 0.8, 42, n_rows=n)
+    return rows, C.label_histories(lab, {C.MAIN: list(range(12))}, 1, [TRAIT_K], rows), n
+
+
+@query(
+    "consensus_custom_algorithm",
+    f"WITH {RUN_SQL} SELECT i AS id, sum(same)::BIGINT AS same, sum(seen)::BIGINT AS cosampled, round(sum(same::DOUBLE / seen), 6) AS row_sum FROM c GROUP BY 1",
+)
+def consensus_custom_algorithm(spark, sf):
+    """Row totals of the consensus matrix of a registered custom algorithm over 12 bootstrap runs."""
+    _, hist, n = _custom_hist(spark, sf)
+    return C.consensus_row_sums(hist, 1, n).select("id", "same", "cosampled", F.round("row_sum", 6).alias("row_sum"))
+
+
+@query(
+    "assignment_confidence",
+    f"""WITH {RUN_SQL}, q AS (SELECT i, la, lb, avg(same::DOUBLE / seen) AS m FROM (SELECT x.id AS i, x.l AS la, y.l AS lb, coalesce(same, 0) AS same, coalesce(seen, 1) AS seen
+    FROM e x JOIN e y ON x.id != y.id LEFT JOIN c ON c.i = x.id AND c.j = y.id) GROUP BY 1, 2, 3),
+  b AS (SELECT i, la, max(CASE WHEN la = lb THEN m END) AS own, max(CASE WHEN la != lb THEN m END) AS oth FROM q GROUP BY 1, 2)
+  SELECT i AS id, la::INTEGER AS "Cluster", round(own, 6) AS "InCluster_Mean", round(oth, 6) AS "BestOther_Mean", round(own - oth, 6) + 0.0 AS "Confidence" FROM b""",
+)
+def assignment_confidence(spark, sf):
+    rows, hist, n = _custom_hist(spark, sf)
+    lab = rows.select(
+        F.lit(f"{C.MAIN}:{TRAIT_K}").alias("g"), "id", F.expr(f"aggregate(x, 0, (s, v) -> s + v) % {TRAIT_K}").alias("label")
+    )
+    df = C.assignment_confidence(hist, lab, 1, n)
+    return df.select(
+        "id", "Cluster", F.round("InCluster_Mean", 6).alias("InCluster_Mean"), F.round("BestOther_Mean", 6).alias("BestOther_Mean"),
+        (F.round("Confidence", 6) + F.lit(0.0)).alias("Confidence"),
+    )
+
+
+ALL = ["kmodes", "spectral_jaccard", "agglomerative_hamming"]
+
+
+@query("consensus_labels_all_algorithms")
+def consensus_labels_all_algorithms(spark, sf):
+    """Final labels per k from all three algorithms."""
+    rows = B.emb_rows(spark, sf)
+    n = rows.count()
+    runs = list(range(8))
+    lab = C.run_labels(rows, ALL, [2, 3, 4], runs, 0.8, 42, n_rows=n)
+    hist = C.label_histories(lab, {C.MAIN: runs}, 3, [2, 3, 4], rows)
+    return C.consensus_labels(hist, 3, n).select("k", "id", "label")
+
+
+@query("stability_path")
+def stability_path(spark, sf):
+    """Split-half NVI, silhouette and label counts per k of the customers' order-priority profiles."""
+    return C.stability_path(row_vectors(B.priority_layer(spark, sf)), [2, 3, 4], ["kmodes", "agglomerative_hamming"], 10, 2).path
+
+
+
+
+@query(
+    "select_k",
+    """WITH p AS (SELECT CAST(p_size % 7 + 2 AS INT) AS k, avg(p_retailprice) / 2000 AS v, avg(p_size) / 50 AS s, count(DISTINCT p_brand) AS u FROM part GROUP BY 1)
+  SELECT k, u::BIGINT AS n_labels FROM p ORDER BY CASE WHEN u <= 1 THEN 10 WHEN u < k THEN 1 ELSE 0 END, v, -s, k LIMIT 1""",
+)
+def select_k(spark, sf):
+    """Choice among candidates whose scores are aggregates of the parts table."""
+    return C.select_k(_candidates(spark, sf)).select("k", "n_labels")
+
+
+def _candidates(spark, sf):
+    return B.table(spark, sf, "part").groupBy((F.col("p_size") % 7 + 2).cast("int").alias("k")).agg(
+        (F.avg("p_retailprice") / 2000).alias("NVI_Mean"), (F.avg("p_size") / 50).alias("Silhouette"), F.count_distinct("p_brand").alias("n_labels")
+    )
+
+
+@query(
+    "penalty_sensitivity",
+    """WITH p AS (SELECT CAST(p_size % 7 + 2 AS INT) AS k, avg(p_retailprice) / 2000 AS v, avg(p_size) / 50 AS s, count(DISTINCT p_brand) AS u FROM part GROUP BY 1),
+  q AS (SELECT unnest([2.0, 5.0, 10.0, 20.0, 50.0])::DOUBLE AS pen),
+  r AS (SELECT *, row_number() OVER (PARTITION BY pen ORDER BY CASE WHEN u <= 1 THEN pen WHEN u < k THEN 1 ELSE 0 END, v, -s, k) AS n FROM p, q)
+  SELECT pen AS "Penalty", k AS "Selected_k", round_even(v, 4) AS "Mean_NVI", round_even(s, 4) AS "Silhouette", u::BIGINT AS "N_Unique_Labels" FROM r WHERE n = 1""",
+)
+def penalty_sensitivity(spark, sf):
+    return C.penalty_sensitivity(_candidates(spark, sf))
+
+
+@query("n_runs_sensitivity")
+def n_runs_sensitivity(spark, sf):
+    return C.n_runs_sensitivity(B.emb_rows(spark, sf), 3, ["agglomerative_hamming"], [5, 10, 15])
+
+
+# --------------------------------------------------------------------- fusion
+
+
+def _fusion_views(spark, sf):
+    """Two label-history views of the embeddings: runs of two row-wise algorithms."""
+    C.register_algorithm("trait_sum", lambda X, k, seed: X.sum(1).astype(int) % k)
+    C.register_algorithm("first_traits", lambda X, k, seed: (X[:, 0] + 2 * X[:, 1]).astype(int) % k)
+    rows = B.emb_rows(spark, sf)
+    n = rows.count()
+    hists = {}
+    for name in ("trait_sum", "first_traits"):
+        lab = C.run_labels(rows, [name], [TRAIT_K], range(12), 0.8, 42, n_rows=n)
+        hists[name] = C.label_histories(lab, {C.MAIN: list(range(12))}, 1, [TRAIT_K], rows)
+    return U.join_views(hists), list(hists), n
+
+
+@query(
+    "cka_matrix",
+    """WITH r AS (SELECT unnest(range(12)) AS run), e AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_sum(list_transform(embedding, v -> (v > 0)::INT)) % 3 AS l1,
+    ((embedding[1] > 0)::INT + 2 * (embedding[2] > 0)::INT) % 3 AS l2 FROM embeddings),
+  d AS (SELECT run, id, l1, l2, row_number() OVER (PARTITION BY run ORDER BY md5('42:' || run || ':' || id), id) AS k, count(*) OVER (PARTITION BY run) AS n FROM e, r),
+  m AS (SELECT run, id, l1, l2 FROM d WHERE k <= greatest(2, floor(n * 0.8))),
+  p AS (SELECT a.id AS i, b.id AS j, avg((a.l1 = b.l1)::INT) AS k1, avg((a.l2 = b.l2)::INT) AS k2 FROM m a JOIN m b USING (run) GROUP BY 1, 2),
+  t AS (SELECT (SELECT count(*) FROM embeddings)::DOUBLE AS n, sum(k1) AS s1, sum(k2) AS s2, sum(k1 * k1) AS p11, sum(k1 * k2) AS p12, sum(k2 * k2) AS p22 FROM p),
+  rs AS (SELECT sum(a * a) AS q11, sum(a * b) AS q12, sum(b * b) AS q22 FROM (SELECT i, sum(k1) AS a, sum(k2) AS b FROM p GROUP BY i)),
+  h AS (SELECT p11 - 2 * q11 / n + s1 * s1 / (n * n) AS h11, p12 - 2 * q12 / n + s1 * s2 / (n * n) AS h12, p22 - 2 * q22 / n + s2 * s2 / (n * n) AS h22 FROM t, rs)
+  SELECT 'trait_sum' AS layer_a, 'trait_sum' AS layer_b, 1.0::DOUBLE AS cka UNION ALL SELECT 'first_traits', 'first_traits', 1.0 UNION ALL
+  SELECT 'trait_sum', 'first_traits', round(h12 / sqrt(h11 * h22), 6) FROM h UNION ALL SELECT 'first_traits', 'trait_sum', round(h12 / sqrt(h11 * h22), 6) FROM h""",
+)
+def cka_matrix(spark, sf):
+    views, names, n = _fusion_views(spark, sf)
+    return U.cka_table(views, names, 1, n).select("layer_a", "layer_b", F.round("cka", 6).alias("cka"))
+
+
+@query("fused_clusters")
+def fused_clusters(spark, sf):
+    """Kernel weights, fused spectral labels and their description length for every candidate k."""
+    views, names, n = _fusion_views(spark, sf)
+    views = U.cut(views)
+    w = U.optimise_weights(views, U.cka_table(views, names, 1, n), names, 1, n, 3)
+    weight = {name: v for name, v, _ in w}
+    return U.fused_clusters(views, [weight[m] for m in names], 1, [2, 3, 4], n)
+
+
+@query("prediction_strength")
+def prediction_strength(spark, sf):
+    return strength.prediction_strength(B.emb_rows(spark, sf), [2, 3, 4], 5)
+
+
+# ----------------------------------------------------------------------- trees
+
+
+def _customer_tree(spark, sf):
+    """region -> nation -> customer hierarchy with unit branches."""
+    r, n, c = (B.table(spark, sf, t) for t in ("region", "nation", "customer"))
+    tag = lambda p, col: F.concat(F.lit(p), F.col(col).cast("string"))
+    root = r.limit(1).select(F.lit("root").alias("node"), F.lit(None).cast("string").alias("parent"))
+    return P.tree_from_levels(
+        [
+            root,
+            r.select(tag("r", "r_regionkey").alias("node"), F.lit("root").alias("parent")),
+            n.select(tag("n", "n_nationkey").alias("node"), tag("r", "n_regionkey").alias("parent")),
+            c.select(F.col("c_custkey").cast("string").alias("node"), tag("n", "c_nationkey").alias("parent")),
+        ]
+    )
+
+
+@query(
+    "patristic_order_partners",
+    """WITH h AS (SELECT c_custkey, n_nationkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey),
+  p AS (SELECT DISTINCT o_custkey AS a, o_orderkey % (SELECT count(*) FROM customer) + 1 AS b FROM orders)
+  SELECT CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, CASE WHEN a = b THEN 0.0 WHEN x.n_nationkey = y.n_nationkey THEN 2.0 WHEN x.n_regionkey = y.n_regionkey THEN 4.0 ELSE 6.0 END::DOUBLE AS dist
+  FROM p JOIN h x ON x.c_custkey = a JOIN h y ON y.c_custkey = b""",
+)
+def patristic_order_partners(spark, sf):
+    """Tree distance of customer pairs taken from the orders table."""
+    tree = _customer_tree(spark, sf)
+    n = B.table(spark, sf, "customer").agg(F.count("*").alias("n")).scalar()
+    pairs = B.table(spark, sf, "orders").select(
+        F.col("o_custkey").cast("string").alias("a"), (F.col("o_orderkey") % n + 1).cast("string").alias("b")
+    ).distinct()
+    return P.patristic(tree, P.ancestors(tree), pairs)
+
+
+@query(
+    "phylo_purity",
+    """WITH h AS (SELECT CAST(c_custkey AS VARCHAR) AS id, n_nationkey AS n, n_regionkey AS r, c_mktsegment AS l FROM customer JOIN nation ON n_nationkey = c_nationkey),
+  runs AS (SELECT unnest(range(20)) AS run), d AS (SELECT run, id, n, r, row_number() OVER (PARTITION BY run ORDER BY md5('3:' || run || ':' || id), id) AS k FROM h, runs),
+  ls AS (SELECT l, row_number() OVER (ORDER BY l) AS k FROM h), a AS (SELECT -1 AS run, id, n, r, l FROM h UNION ALL SELECT run, id, n, r, ls.l FROM d JOIN ls USING (k)),
+  g AS (SELECT run, n, r, l, count(*)::DOUBLE AS c FROM a GROUP BY 1, 2, 3, 4),
+  q AS (SELECT x.run, x.l = y.l AS same, CASE WHEN x.n = y.n THEN 2.0 WHEN x.r = y.r THEN 4.0 ELSE 6.0 END AS dist,
+    CASE WHEN x.n = y.n AND x.l = y.l THEN x.c * (x.c - 1) / 2 ELSE x.c * y.c / 2 END AS pairs FROM g x JOIN g y ON x.run = y.run),
+  s AS (SELECT run, sum(CASE WHEN NOT same THEN dist * pairs END) / sum(CASE WHEN NOT same THEN pairs END) AS b, sum(CASE WHEN same THEN dist * pairs END) / sum(CASE WHEN same THEN pairs END) AS w FROM q GROUP BY 1),
+  z AS (SELECT run, b / (w + 1e-12) AS score FROM s)
+  SELECT round(max(CASE WHEN run = -1 THEN score END), 6) AS "Purity_between_over_within",
+  round((count(CASE WHEN run >= 0 AND score >= (SELECT score FROM z WHERE run = -1) - 1e-12 THEN 1 END) + 1) / 21.0, 6) AS "Perm_P", (SELECT count(*) FROM h)::BIGINT AS "N" FROM z""",
+)
+def phylo_purity(spark, sf):
+    tree = _customer_tree(spark, sf)
+    lab = B.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("label"))
+    df = P.phylo_purity(tree, P.ancestors(tree), lab, 20, 3)
+    return df.select(F.round("Purity_between_over_within", 6).alias("Purity_between_over_within"), F.round("Perm_P", 6).alias("Perm_P"), "N")
+
+
+@query("persistence_diagram")
+def persistence_diagram(spark, sf):
+    return topology.persistence_diagram(B.emb_rows(spark, sf), 1, 120, 42)
+
+
+@query("topology_summary")
+def topology_summary(spark, sf):
+    return topology.topology_summary(topology.persistence_diagram(B.emb_rows(spark, sf), 1, 120, 42))
