@@ -17,9 +17,9 @@ from cohortloom.operators.layers import row_vectors
 from cohortloom.plans import testbed as B
 from cohortloom.plans.catalog import query
 
-POP_SQL = """e AS (SELECT CAST(vec_id AS VARCHAR) AS id, label, list_transform(embedding, v -> (v > 0)::INT) AS x FROM embeddings),
+POP_SQL = """e AS (SELECT CAST(vec_id AS VARCHAR) AS id, label, [(v > 0)::INT for v in embedding] AS x FROM embeddings),
   s AS (SELECT *, list_sum(x) AS n1 FROM e),
-  pr AS (SELECT a.id AS i, b.id AS j, a.label AS la, b.label AS lb, list_dot_product(a.x::DOUBLE[], b.x::DOUBLE[]) AS both, a.n1 AS na, b.n1 AS nb FROM s a, s b)"""
+  pr AS (SELECT a.id AS i, b.id AS j, a.label AS la, b.label AS lb, list_dot_product(a.x::DOUBLE[], b.x::DOUBLE[]) AS b11, a.n1 AS na, b.n1 AS nb FROM s a, s b)"""
 
 
 def _kernel_sql(value: str, order: str) -> str:
@@ -28,14 +28,14 @@ def _kernel_sql(value: str, order: str) -> str:
   SELECT i AS id, round(sum(k.v), 6) AS row_sum, any_value(n.j) AS nn_id, round(any_value(n.v), 6) AS nn_value FROM k JOIN n USING (i) WHERE n.r = 1 GROUP BY i"""
 
 
-@query("jaccard_kernel_rows", _kernel_sql("both / greatest(na + nb - both, 1)", "v DESC"))
+@query("jaccard_kernel_rows", _kernel_sql("b11 / greatest(na + nb - b11, 1)", "v DESC"))
 def jaccard_kernel_rows(spark, sf):
     """Degree and nearest neighbour of every sample under the Jaccard kernel."""
     df = T.kernel_rows(B.emb_rows(spark, sf), "jaccard")
     return df.select("id", F.round("row_sum", 6).alias("row_sum"), "nn_id", F.round("nn_value", 6).alias("nn_value"))
 
 
-@query("hamming_distance_rows", _kernel_sql("(na + nb - 2 * both) / 64", "v"))
+@query("hamming_distance_rows", _kernel_sql("(na + nb - 2 * b11) / 64", "v"))
 def hamming_distance_rows(spark, sf):
     df = T.kernel_rows(B.emb_rows(spark, sf), "hamming")
     return df.select("id", F.round("row_sum", 6).alias("row_sum"), "nn_id", F.round("nn_value", 6).alias("nn_value"))
@@ -43,7 +43,7 @@ def hamming_distance_rows(spark, sf):
 
 @query(
     "jaccard_matrix_moments",
-    f"""WITH {POP_SQL}, k AS (SELECT i, both / greatest(na + nb - both, 1) AS v FROM pr)
+    f"""WITH {POP_SQL}, k AS (SELECT i, b11 / greatest(na + nb - b11, 1) AS v FROM pr)
   SELECT i AS id, count(*)::BIGINT AS n, round(sum(v), 6) AS total, round(sum(v * v), 6) AS squares, round(min(v), 6) AS low FROM k GROUP BY i""",
 )
 def jaccard_matrix_moments(spark, sf):
@@ -91,7 +91,7 @@ def informative_prevalence(spark, sf):
 
 @query(
     "silhouette_given_labels",
-    f"""WITH {POP_SQL}, d AS (SELECT i, la, lb, avg((na + nb - 2 * both) / 64.0) AS m, count(*) AS c FROM pr WHERE i != j GROUP BY 1, 2, 3),
+    f"""WITH {POP_SQL}, d AS (SELECT i, la, lb, avg((na + nb - 2 * b11) / 64.0) AS m, count(*) AS c FROM pr WHERE i != j GROUP BY 1, 2, 3),
   ab AS (SELECT i, la AS label, max(CASE WHEN la = lb THEN m END) AS a, min(CASE WHEN la != lb THEN m END) AS b FROM d GROUP BY 1, 2)
   SELECT i AS id, label::INTEGER AS label, round(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END, 6) + 0.0 AS s FROM ab""",
 )
@@ -109,7 +109,7 @@ def _register():
     C.register_algorithm("trait_sum", lambda X, k, seed: X.sum(1).astype(int) % k)
 
 
-RUN_SQL = f"""r AS (SELECT unnest(range(12)) AS run), e AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_sum(list_transform(embedding, v -> (v > 0)::INT)) % {TRAIT_K} AS l FROM embeddings),
+RUN_SQL = f"""r AS (SELECT unnest(range(12)) AS run), e AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_sum([(v > 0)::INT for v in embedding]) % {TRAIT_K} AS l FROM embeddings),
   d AS (SELECT run, id, l, row_number() OVER (PARTITION BY run ORDER BY md5('42:' || run || ':' || id), id) AS k, count(*) OVER (PARTITION BY run) AS n FROM e, r),
   m AS (SELECT run, id, l FROM d WHERE k <= greatest(2, floor(n * 0.8))),
   c AS (SELECT a.id AS i, b.id AS j, any_value(a.l) AS la, any_value(b.l) AS lb, count(*) AS seen, sum((a.l = b.l)::INT) AS same FROM m a JOIN m b USING (run) GROUP BY 1, 2)"""
@@ -224,7 +224,7 @@ def _fusion_views(spark, sf):
 
 @query(
     "cka_matrix",
-    """WITH r AS (SELECT unnest(range(12)) AS run), e AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_sum(list_transform(embedding, v -> (v > 0)::INT)) % 3 AS l1,
+    """WITH r AS (SELECT unnest(range(12)) AS run), e AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_sum([(v > 0)::INT for v in embedding]) % 3 AS l1,
     ((embedding[1] > 0)::INT + 2 * (embedding[2] > 0)::INT) % 3 AS l2 FROM embeddings),
   d AS (SELECT run, id, l1, l2, row_number() OVER (PARTITION BY run ORDER BY md5('42:' || run || ':' || id), id) AS k, count(*) OVER (PARTITION BY run) AS n FROM e, r),
   m AS (SELECT run, id, l1, l2 FROM d WHERE k <= greatest(2, floor(n * 0.8))),

@@ -51,8 +51,17 @@ def cut(df: DataFrame) -> DataFrame:
     Used between the rounds of iterative plans: a lost executor re-reads the
     checkpoint instead of replaying every earlier round.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    _ensure_checkpoint_dir(spark)
+    # A checkpoint keeps the constraints of its plan under attribute names it no longer
+    # outputs, which breaks a later union; record it without constraints.
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 def keep(df: DataFrame) -> DataFrame:
