@@ -25,7 +25,7 @@ def prediction_strength(
     p = width(rows)
     base = rows.select(F.col("id").cast("string").alias("id"), "x", pack_bits("x").alias("bits")).withColumn("pid", F.md5("bits"))
     half = half_split(base.select("id"), n_splits, seed)
-    sizes = half.groupBy("run").agg(F.count_if("half = 'train'").alias("a"), F.count_if("half = 'test'").alias("t"))
+    sizes = half.groupBy("run").agg(F.count_if(F.col("half") == "train").alias("a"), F.count_if(F.col("half") == "test").alias("t"))
     test = half.where("half = 'test'").select("run", "id").join(base.select("id", "pid"), "id")
     profiles = base.groupBy("pid").agg(F.max("bits").alias("bits"), F.max("x").alias("x"))
     work = (
