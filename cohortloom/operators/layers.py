@@ -28,6 +28,10 @@ class TraitLayer:
     fmt: str = "wide"
 
 
+BROADCAST_LEVELS = 200_000  # distinct category levels up to which their table is broadcast
+SALTS = 64
+
+
 # ------------------------------------------------------------------ loading
 
 
@@ -57,13 +61,18 @@ def is_long_format(df: DataFrame, id_col: str) -> bool:
     return len(others) == 1 or row["t1"] == 0
 
 
-def _universe_ids(cells: DataFrame, universe: DataFrame | None, seen: DataFrame) -> DataFrame:
-    seen = seen.select("id").distinct().withColumn("observed", F.lit(True))
+def _within(cells: DataFrame, seen: DataFrame, universe: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Cells and ``(id, observed)`` restricted and expanded to an id universe.
+
+    ``seen(id, observed)`` lists the ids of the file. Cells are joined, not semi-joined:
+    a semi-join would be pushed below the cell aggregation and keep its shuffle from
+    being shared with the branches that read all cells.
+    """
     if universe is None:
-        return seen
-    return universe.select("id").join(seen, "id", "left").withColumn(
-        "observed", F.coalesce("observed", F.lit(False))
-    )
+        return cells, seen
+    universe = universe.select("id").distinct()
+    ids = universe.join(seen, "id", "left").withColumn("observed", F.coalesce("observed", F.lit(False)))
+    return cells.join(universe, "id"), ids
 
 
 def positive_list(
@@ -91,10 +100,10 @@ def positive_list(
     else:
         present = F.max(F.lit(1).cast("tinyint"))
     cells = base.groupBy("id", "feature").agg(present.alias("value"))
-    features = cells.select("feature").distinct()
-    ids = _universe_ids(cells, universe, cells)
-    if universe is not None:
-        cells = cells.join(universe.select("id"), "id", "left_semi")
+    # every branch reads (id, feature, value), so they share one shuffle of the detections
+    features = cells.groupBy("feature").agg(F.max("value").alias("v")).select("feature")
+    seen = cells.groupBy("id").agg(F.max(F.col("value").isNotNull()).alias("observed"))
+    cells, ids = _within(cells, seen, universe)
     return TraitLayer(name, cells, ids, features, True, "long")
 
 
@@ -134,24 +143,29 @@ def coerce_binary_wide(df: DataFrame, id_col: str) -> DataFrame:
         F.when(F.col("kind") == "text", F.col("raw"))
         .when(F.col("kind") == "number", number_text)
     )
-    typed = values.join(kinds, "source").withColumn("level", level)
+    # one row per column of the table
+    typed = values.join(F.broadcast(kinds), "source").withColumn("level", level)
     plain = typed.where(F.col("kind").isin("binary", "empty")).select(
         "id",
         F.col("source").alias("feature"),
         F.when(F.col("kind") == "binary", (F.col("num") > 0).cast("tinyint")).alias("value"),
     )
     levels = (
-        distinct.join(kinds, "source")
+        distinct.join(F.broadcast(kinds), "source")
         .withColumn("level", level)
         .where(F.col("level").isNotNull())
         .select("source", F.col("level").alias("cat"))
         .distinct()
     )
+    coded = typed.where(F.col("kind").isin("text", "number")).select("id", "source", "level")
+    if levels.count() <= BROADCAST_LEVELS:
+        coded = coded.join(F.broadcast(levels), "source")
+    else:  # few, huge join keys: spread each column's rows over salts
+        salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
+        salted = levels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+        coded = coded.withColumn("salt", salt).join(salted, ["source", "salt"])
     dummies = (
-        typed.where(F.col("kind").isin("text", "number"))
-        .select("id", "source", "level")
-        .join(levels, "source")
-        .select(
+        coded.select(
             "id",
             F.concat_ws("_", "source", "cat").alias("feature"),
             (F.col("level") == F.col("cat")).cast("tinyint").alias("value"),
@@ -170,13 +184,7 @@ def wide_layer(
 def cells_layer(name: str, cells: DataFrame, universe: DataFrame | None = None) -> TraitLayer:
     features = cells.select("feature").distinct()
     seen = cells.groupBy("id").agg(F.max(F.col("value").isNotNull()).alias("observed"))
-    if universe is None:
-        ids = seen
-    else:
-        ids = universe.select("id").join(seen, "id", "left").withColumn(
-            "observed", F.coalesce("observed", F.lit(False))
-        )
-        cells = cells.join(universe.select("id"), "id", "left_semi")
+    cells, ids = _within(cells, seen, universe)
     return TraitLayer(name, cells, ids, features, False, "wide")
 
 
@@ -209,6 +217,16 @@ def normalize_binary_like(df: DataFrame, id_col: str | None = None) -> DataFrame
     return df.select(*out)
 
 
+def edit_columns(
+    df: DataFrame, rename: dict[str, str] | None = None, recode: dict | None = None, drop: list[str] | None = None
+) -> DataFrame:
+    """Table edits before a run: drop columns, recode values ``{column: {old: new}}``, rename."""
+    out = df.drop(*(drop or []))
+    for c, mapping in (recode or {}).items():
+        out = out.replace(mapping, subset=[c])
+    return out.withColumnsRenamed(rename or {})
+
+
 # ------------------------------------------------------- coverage and QC
 
 

@@ -62,8 +62,7 @@ def ancestors(tree: DataFrame, max_doublings: int = 40) -> DataFrame:
     up = cut(tree.where(F.col("parent").isNotNull()).select("node", F.col("parent").alias("anc")))
     all_pairs, n = up, up.count()
     for _ in range(max_doublings):
-        # written separately: both sides of the doubling join are plain scans
-        above = cut(all_pairs.select(F.col("node").alias("mid"), F.col("anc").alias("top")))
+        above = all_pairs.select(F.col("node").alias("mid"), F.col("anc").alias("top"))
         step = all_pairs.join(above, F.col("anc") == F.col("mid")).select("node", F.col("top").alias("anc"))
         all_pairs = cut(all_pairs.unionByName(step).distinct())
         m = all_pairs.count()

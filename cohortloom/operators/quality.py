@@ -21,24 +21,31 @@ def _dtype_class(t: T.DataType) -> str:
     return "number" if isinstance(t, T.NumericType) else "text"
 
 
+LONG_TEXT = 64  # longer cells are counted under their digest; presence tokens and numbers are shorter
+
+
 def value_counts(df: DataFrame, id_col: str | None = None, keys: list[str] | None = None) -> DataFrame:
-    """``(keys..., feature, dtype, value, c)`` for every column but the id, in one pass.
+    """``(keys..., feature, dtype, value, b, c)`` for every column but the id, in one pass.
 
-    The rows shuffled are partial counts per (column, value), not table cells.
+    ``b`` is the binary/numeric reading of the cell. Long texts are hashed whole before
+    they become a grouping key, so the shuffle carries digests and partial counts.
     """
     keys = keys or []
     feats = [f for f in df.schema.fields if f.name != id_col and f.name not in keys]
-    cells = [
-        F.struct(
-            F.lit(f.name).alias("feature"),
-            F.lit(_dtype_class(f.dataType)).alias("dtype"),
-            F.col(f"`{f.name}`").cast("string").alias("value"),
+    cells = []
+    for f in feats:
+        kind, v = _dtype_class(f.dataType), F.col(f"`{f.name}`").cast("string")
+        if kind == "number":
+            b, key = numeric_or_null(v), v
+        else:
+            b = F.when(F.length(F.trim(v)) <= LONG_TEXT, binary_token(v))
+            key = F.when(F.length(v) > LONG_TEXT, F.md5(v.cast("binary"))).otherwise(v)
+        cells.append(
+            F.struct(F.lit(f.name).alias("feature"), F.lit(kind).alias("dtype"), key.alias("value"), b.alias("b"))
         )
-        for f in feats
-    ]
     return (
         df.select(*keys, F.explode(F.array(*cells)).alias("q"))
-        .groupBy(*keys, "q.feature", "q.dtype", "q.value")
+        .groupBy(*keys, "q.feature", "q.dtype", "q.value", "q.b")
         .agg(F.count("*").alias("c"))
     )
 
@@ -52,12 +59,10 @@ def informativeness_from_counts(
     """Per-feature type, prevalence, entropy (bits), flags and score from value counts."""
     keys = keys or []
     group = [*keys, "feature", "dtype"]
-    mapped = F.when(F.col("dtype") == "number", numeric_or_null("value")).otherwise(binary_token("value"))
-    v = counts.withColumn("b", F.when(F.col("value").isNotNull(), mapped))
     # Non-binary numbers are counted on their value rounded to 6 places.
-    v = v.withColumn(
+    v = counts.withColumn(
         "level",
-        F.when(F.col("dtype") == "number", F.round(numeric_or_null("value"), 6).cast("string")).otherwise(F.col("value")),
+        F.when(F.col("dtype") == "number", F.round("b", 6).cast("string")).otherwise(F.col("value")),
     )
     levels = v.groupBy(*group, "level").agg(
         F.sum("c").alias("c"),

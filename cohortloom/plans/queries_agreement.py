@@ -345,3 +345,22 @@ def cliff_delta(spark, sf):
 @query("cliff_delta_interval")
 def cliff_delta_interval(spark, sf):
     return E.cliff_delta_table(_segment_counts(spark, sf))
+
+
+# ------------------------------------------------------------- NVI summaries
+
+
+@query(
+    "nvi_summary",
+    "WITH ct AS (SELECT n_chars % 3 + 2 AS k, doc_id % 5 AS split, lang AS a, source AS b, count(*) AS n FROM documents GROUP BY 1, 2, 3, 4)"
+    + metrics_sql("", ["k", "split"]).replace("round(vi / ln(greatest(n, 2)), 6) + 0.0 AS nvi", "vi / ln(greatest(n, 2)) AS nvi")
+    + """ SELECT k::BIGINT AS k, round(avg(nvi), 6) AS "NVI_Mean", round(stddev_pop(nvi), 6) AS "NVI_Std",
+  round(quantile_cont(nvi, 0.025), 6) AS "NVI_CI_Lo", round(quantile_cont(nvi, 0.975), 6) AS "NVI_CI_Hi" FROM r GROUP BY 1""",
+)
+def nvi_summary(spark, sf):
+    """Mean, deviation and percentile interval of split-wise NVI, per k."""
+    from cohortloom.operators.consensus import summarise_nvi
+
+    d = B.table(spark, sf, "documents").withColumn("k", F.col("n_chars") % 3 + 2).withColumn("split", F.col("doc_id") % 5)
+    draws = A.partition_metrics(A.contingency(d, "lang", "source", ["k", "split"]), ["k", "split"])
+    return _round(summarise_nvi(draws), "NVI_Mean", "NVI_Std", "NVI_CI_Lo", "NVI_CI_Hi")

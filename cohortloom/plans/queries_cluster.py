@@ -250,6 +250,15 @@ def fused_clusters(spark, sf):
     return U.fused_clusters(views, [weight[m] for m in names], 1, [2, 3, 4], n)
 
 
+@query("kernel_weights")
+def kernel_weights(spark, sf):
+    """Fusion weight and mean CKA of each view."""
+    views, names, n = _fusion_views(spark, sf)
+    views = U.cut(views)
+    got = U.optimise_weights(views, U.cka_table(views, names, 1, n), names, 1, n, 3)
+    return spark.createDataFrame(got, "layer string, weight double, cka_mean double")
+
+
 @query("prediction_strength")
 def prediction_strength(spark, sf):
     return strength.prediction_strength(B.emb_rows(spark, sf), [2, 3, 4], 5)
