@@ -162,7 +162,7 @@ def coerce_binary_wide(df: DataFrame, id_col: str) -> DataFrame:
         coded = coded.join(F.broadcast(levels), "source")
     else:  # few, huge join keys: spread each column's rows over salts
         salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
-        salted = levels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+        salted = levels.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
         coded = coded.withColumn("salt", salt).join(salted, ["source", "salt"])
     dummies = (
         coded.select(
