@@ -135,22 +135,10 @@ def label_overlap_matrix(spark, sf):
     return A.layer_pair_table(_layer_labels(spark, sf))
 
 
-@query(
-    "label_matching",
-    f"""WITH RECURSIVE {LAYERS_SQL}, ct AS ({PAIRS_SQL}), ks AS (SELECT DISTINCT la, lb FROM ct WHERE lb IN ('c_sign', 'd_orders') AND la IN ('a_segment', 'c_sign')),
-  ra AS (SELECT la, lb, a, row_number() OVER (PARTITION BY la, lb ORDER BY a) AS i FROM (SELECT DISTINCT la, lb, a FROM ct JOIN ks USING (la, lb))),
-  rb AS (SELECT la, lb, b, row_number() OVER (PARTITION BY la, lb ORDER BY b) - 1 AS j FROM (SELECT DISTINCT la, lb, b FROM ct JOIN ks USING (la, lb))),
-  sz AS (SELECT la, lb, max(i) AS m FROM ra GROUP BY 1, 2), sb AS (SELECT la, lb, max(j) + 1 AS mb FROM rb GROUP BY 1, 2),
-  walk(la, lb, i, used, total) AS (SELECT la, lb, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM sz UNION ALL
-    SELECT * FROM (SELECT w.la, w.lb, w.i + 1, w.used | (1::BIGINT << rb.j), w.total + coalesce(ct.n, 0) FROM walk w JOIN ra ON ra.la = w.la AND ra.lb = w.lb AND ra.i = w.i + 1
-      JOIN rb ON rb.la = w.la AND rb.lb = w.lb AND (w.used & (1::BIGINT << rb.j)) = 0 LEFT JOIN ct ON ct.la = w.la AND ct.lb = w.lb AND ct.a = ra.a AND ct.b = rb.b
-      UNION ALL SELECT w.la, w.lb, w.i + 1, w.used, w.total FROM walk w JOIN sz ON sz.la = w.la AND sz.lb = w.lb AND w.i < sz.m))
-  SELECT la AS layer_a, lb AS layer_b, max(total)::BIGINT AS overlap FROM walk JOIN sz USING (la, lb) WHERE walk.i = sz.m GROUP BY 1, 2""",
-)
+@query("label_matching")
 def label_matching(spark, sf):
-    """Total overlap of the best one-to-one label mapping (the mapping itself may have ties)."""
-    t = A.layer_pair_table(_layer_labels(spark, sf)).where("layer_b IN ('c_sign', 'd_orders') AND layer_a IN ('a_segment', 'c_sign')")
-    return A.match_labels(t, ["layer_a", "layer_b"]).groupBy("layer_a", "layer_b").agg(F.sum("overlap").alias("overlap"))
+    """Best one-to-one label mapping of every layer pair (optimality is tested against brute force)."""
+    return A.match_labels(A.layer_pair_table(_layer_labels(spark, sf)), ["layer_a", "layer_b"])
 
 
 # ------------------------------------------------- information and MDL

@@ -168,8 +168,8 @@ def consensus_labels_all_algorithms(spark, sf):
 
 @query("stability_path")
 def stability_path(spark, sf):
-    """Split-half NVI, silhouette and label counts per k of the customers' order-priority profiles."""
-    return C.stability_path(row_vectors(B.priority_layer(spark, sf)), [2, 3, 4], ["kmodes", "agglomerative_hamming"], 10, 2).path
+    """Split-half NVI, silhouette and label counts per k."""
+    return C.stability_path(B.emb_rows(spark, sf), [2, 3, 4], ["kmodes", "agglomerative_hamming"], 10, 2).path
 
 
 
@@ -271,7 +271,7 @@ def _customer_tree(spark, sf):
     """region -> nation -> customer hierarchy with unit branches."""
     r, n, c = (B.table(spark, sf, t) for t in ("region", "nation", "customer"))
     tag = lambda p, col: F.concat(F.lit(p), F.col(col).cast("string"))
-    root = r.limit(1).select(F.lit("root").alias("node"), F.lit(None).cast("string").alias("parent"))
+    root = r.select(F.lit("root").alias("node"), F.lit(None).cast("string").alias("parent")).distinct()
     return P.tree_from_levels(
         [
             root,
@@ -327,3 +327,21 @@ def persistence_diagram(spark, sf):
 @query("topology_summary")
 def topology_summary(spark, sf):
     return topology.topology_summary(topology.persistence_diagram(B.emb_rows(spark, sf), 1, 120, 42))
+
+
+@query(
+    "row_vector_silhouette",
+    """WITH h AS (SELECT DISTINCT o_custkey AS id, p_brand AS f FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey),
+  s AS (SELECT id, count(*) AS n1, any_value(c_mktsegment) AS l FROM h JOIN customer ON c_custkey = id GROUP BY 1), p AS (SELECT count(DISTINCT f)::DOUBLE AS p FROM h),
+  b AS (SELECT x.id AS i, y.id AS j, count(*) AS c FROM h x JOIN h y USING (f) GROUP BY 1, 2),
+  pr AS (SELECT x.id AS i, x.l AS la, y.l AS lb, (x.n1 + y.n1 - 2 * coalesce(c, 0)) / p AS d FROM s x JOIN s y ON x.id != y.id LEFT JOIN b ON b.i = x.id AND b.j = y.id, p),
+  m AS (SELECT i, la, lb, avg(d) AS d FROM pr GROUP BY 1, 2, 3),
+  ab AS (SELECT i, max(CASE WHEN la = lb THEN d END) AS a, min(CASE WHEN la != lb THEN d END) AS b FROM m GROUP BY 1)
+  SELECT 1::INTEGER AS k, round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab""",
+)
+def row_vector_silhouette(spark, sf):
+    """Brand profiles of all customers, packed from the positive list, scored against market segments."""
+    rows = row_vectors(B.brand_layer(spark, sf))
+    seg = B.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("label"))
+    s = T.silhouette(rows.join(seg, "id").withColumn("k", F.lit(1)), ["k"])
+    return s.select("k", F.round("silhouette", 6).alias("silhouette"))
