@@ -2,8 +2,10 @@
 
 Each window of ``length`` items has one anchor: the leftmost of its least ``seed``-grams. Equal
 windows have equal anchors at equal places. All windows of a row with one anchor are one *context*:
-the items they cover. Contexts met twice settle all their windows at once. Only where an anchor's
-class holds several contexts (the ends of matches) are windows hashed one by one.
+the items they cover. Contexts met twice settle all their windows at once. Where an anchor's class
+holds several contexts (the ends of matches), contexts are split into blocks of windows, and those
+into single windows. A block whose core (what all its windows share) is met once holds no repeat;
+one whose hull (what they cover together) is met twice holds nothing else.
 
 Hashes have 64 bits (a false match has odds of about pairs / 2^64).
 """
@@ -11,6 +13,7 @@ Hashes have 64 bits (a false match has odds of about pairs / 2^64).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,6 +27,7 @@ class Windows:
     length: int
     seed: int
     bytewise: bool
+    blocks: tuple[int, ...] = (16, 1)
 
     def items(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Item hashes of a chunk and the first item of each row."""
@@ -66,20 +70,25 @@ def _emit(kind: Windows, shard=None):
                 ctx = hashes(lo, hi + kind.length) ^ C.mix(((pos - lo) << 32 | (hi - lo)).astype(np.uint64))
                 if shard is not None:
                     order = shard(row, cls)
-                    row, lo, hi, cls, ctx = row[order], lo[order], hi[order], cls[order], ctx[order]
+                    row, pos, lo, hi, cls, ctx = row[order], pos[order], lo[order], hi[order], cls[order], ctx[order]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(cls.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(k1[i:j][row]), pa.array(k2[i:j][row]),
                         pa.array((lo - first[row]).astype(np.int32)), pa.array((hi - lo).astype(np.int32)),
+                        pa.array((pos - lo).astype(np.int32)), pa.array(np.ones(len(lo), bool)),
                     ],
-                    ["cls", "ctx", "k1", "k2", "lo", "more"],
+                    ["cls", "ctx", "k1", "k2", "lo", "more", "far", "need"],
                 )
 
     return run
 
 
-def _explode(kind: Windows):
-    """Hash each window of the asked contexts; ``asked`` holds lo << 32 | more << 1 | needs an answer."""
+def _split(kind: Windows, block: int):
+    """Split asked window ranges into blocks of ``block`` offsets from their anchor.
+
+    ``asked`` holds start << 32 | more windows << 17 | first offset << 1 | needs an answer. The class
+    of a block is what all its windows share (its core), its context what they cover (its hull).
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -94,59 +103,67 @@ def _explode(kind: Windows):
                 hashes = C.Ranges(items)
                 v = values[bounds[i] : bounds[j]]
                 row = np.repeat(np.arange(j - i), np.diff(bounds[i : j + 1]))
-                lo, n, need = v >> 32, ((v & 0xFFFFFFFF) >> 1) + 1, v & 1
+                start, more, far, need = v >> 32, (v >> 17) & 0x7FFF, (v >> 1) & 0xFFFF, v & 1
+                near = far - more  # offsets from the anchor fall as windows start later
+                n = far // block - near // block + 1
                 each = np.repeat(np.arange(len(v)), n)
-                start = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                at = first[row[each]] + start
-                wh = hashes(at, at + kind.length)
+                b = far[each] // block - (np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n))
+                top = np.minimum(far[each], b * block + block - 1)
+                low = np.maximum(near[each], b * block)
+                row = row[each]
+                lo = start[each] + far[each] - top
+                at = first[row] + lo
+                core = at + top - b * block
+                cls = hashes(core, core - block + 1 + kind.length) ^ C.mix(b.astype(np.uint64))
+                ctx = hashes(at, at + top - low + kind.length) ^ C.mix((top << 32 | low).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(wh.view(np.int64)), pa.array(k1[i:j][row[each]]), pa.array(k2[i:j][row[each]]), pa.array(start.astype(np.int32)), pa.array(need[each].astype(bool))],
-                    ["wh", "k1", "k2", "start", "need"],
+                    [
+                        pa.array(cls.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(k1[i:j][row]), pa.array(k2[i:j][row]),
+                        pa.array(lo.astype(np.int32)), pa.array((top - low).astype(np.int32)), pa.array(top.astype(np.int32)),
+                        pa.array(need[each].astype(bool)),
+                    ],
+                    ["cls", "ctx", "k1", "k2", "lo", "more", "far", "need"],
                 )
 
     return run
 
 
+ROWS = "cls long, ctx long, k1 long, k2 long, lo int, more int, far int, need boolean"
+
+
 def removed_spans(keyed: DataFrame, kind: Windows, earlier_only: bool, shard=None, name: str = "repeats") -> DataFrame:
     """``k1, k2, spans``: spans of windows to remove as start << 32 | items.
 
     ``earlier_only``: a window counts if it also starts under a smaller ``k1``; else if it starts
     anywhere else. ``keyed`` holds ``k1, k2, text``.
     """
-    rows = C.stored(
-        keyed.mapInArrow(_emit(kind, shard), "cls long, ctx long, k1 long, k2 long, lo int, more int"), f"{name}-contexts"
-    )
-    # Contexts are counted before they are dealt out, so copies cost a row per task.
-    seen = rows.groupBy("cls", "ctx").agg(F.count("*").alias("n"), F.min("k1").alias("least"))
-    seen = C.stored(seen, f"{name}-seen")
-    classes = seen.groupBy("cls").agg(F.count("*").alias("contexts"), F.sum("n").alias("all")).filter("all >= 2")
-    seen = seen.join(classes.select("cls", "contexts"), "cls")
-    hits = C.stored(
-        rows.join(seen, ["cls", "ctx"]).select(
-            "k1", "k2", "lo", "more", "n", (F.col("k1") == F.col("least")).alias("lead"), (F.col("contexts") > 1).alias("several")
-        ),
-        f"{name}-hits",
-    )
-    settled = ~F.col("lead") if earlier_only else F.col("n") >= 2
-    whole = hits.filter(settled).select("k1", "k2", (F.shiftleft(F.col("lo").cast("long"), 32) + F.col("more") + kind.length).alias("span"))
-    need = F.lit(1) if earlier_only else F.when(F.col("n") == 1, 1).otherwise(0)
-    asked = (
-        hits.filter("several and lead")
-        .groupBy("k1", "k2")
-        .agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("more") * 2 + need).alias("asked"))
-    )
-    single = C.stored(
-        keyed.dropDuplicates(["k1", "k2"]).join(asked, ["k1", "k2"]).select("k1", "k2", "text", "asked")
-        .mapInArrow(_explode(kind), "wh long, k1 long, k2 long, start int, need boolean"),
-        f"{name}-windows",
-    )
-    total = single.groupBy("wh").agg(F.count("*").alias("n"), F.min("k1").alias("least"), F.max("k1").alias("most"))
-    total = total.filter("least < most" if earlier_only else "n >= 2").select("wh", "least")
-    more = single.filter("need").join(total, "wh")
-    if earlier_only:
-        more = more.filter("least < k1")
-    more = more.select("k1", "k2", (F.shiftleft(F.col("start").cast("long"), 32) + kind.length).alias("span"))
-    return whole.unionByName(more).groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
+    rows, spans = keyed.mapInArrow(_emit(kind, shard), ROWS), []
+    for level, block in enumerate((*kind.blocks, 0)):
+        rows = C.stored(rows, f"{name}-rows{level}")
+        # Counted before they are dealt out, copies cost a row per task; most classes have one row and go here.
+        classes = rows.groupBy("cls").agg(
+            F.count("*").alias("n"), F.min("k1").alias("least"), (F.min("ctx") != F.max("ctx")).alias("several")
+        )
+        rows = C.stored(rows.join(classes.filter("n >= 2"), "cls"), f"{name}-classes{level}")
+        mixed = rows.filter("several").drop("n", "least")
+        contexts = mixed.groupBy("cls", "ctx").agg(F.count("*").alias("n"), F.min("k1").alias("least"))
+        mixed = mixed.join(contexts, ["cls", "ctx"])
+        if block:
+            mixed = C.stored(mixed, f"{name}-mixed{level}")
+        hits = rows.filter("not several").unionByName(mixed)
+        lead = F.col("k1") == F.col("least")
+        settled = ~lead if earlier_only else F.col("n") >= 2
+        spans.append(hits.filter(settled & F.col("need")).select("k1", "k2", _packed(F.col("lo"), F.col("more") + kind.length).alias("span")))
+        if block:
+            need = F.col("need") if earlier_only else F.col("need") & (F.col("n") == 1)
+            ask = _packed(F.col("lo"), F.shiftleft(F.col("more").cast("long"), 17) + F.shiftleft(F.col("far"), 1) + need.cast("int"))
+            asked = mixed.filter(lead).groupBy("k1", "k2").agg(F.collect_list(ask).alias("asked"))
+            rows = keyed.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "asked").mapInArrow(_split(kind, block), ROWS)
+    return reduce(DataFrame.unionByName, spans).groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
+
+
+def _packed(high, low):
+    return F.shiftleft(high.cast("long"), 32) + low
 
 
 def covered(spans: np.ndarray, n: int) -> np.ndarray:

@@ -24,7 +24,7 @@ from cohortloom.llm.repeats import Windows, covered, removed_spans
 def dedup_substrings(docs: DataFrame, length: int = 50, seed: int = 10) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept_text`` for each row of ``docs`` (doc_id, text)."""
     keyed = C.text_keys(docs)
-    spans = removed_spans(keyed, Windows(length, seed, False), True, name="substring")
+    spans = removed_spans(keyed, Windows(length, seed, False, (6, 1)), True, name="substring")
 
     def finish(batches):
         import pyarrow as pa
