@@ -144,21 +144,25 @@ def removed_spans(keyed: DataFrame, kind: Windows, earlier_only: bool, shard=Non
         classes = rows.groupBy("cls").agg(
             F.count("*").alias("n"), F.min("k1").alias("least"), (F.min("ctx") != F.max("ctx")).alias("several")
         )
-        rows = C.stored(rows.join(classes.filter("n >= 2"), "cls"), f"{name}-classes{level}")
+        # Read back, the classes are a plain join side, so that a hot class is split at run time.
+        classes = C.stored(classes.filter("n >= 2"), f"{name}-classes{level}")
+        rows = (rows if block else rows.filter("need")).join(classes, "cls")
+        lead = F.col("k1") == F.col("least")
+        if not block:  # a window is its own context
+            spans.append(rows.filter(~lead if earlier_only else F.lit(True)).select("k1", "k2", _packed(F.col("lo"), F.lit(kind.length)).alias("span")))
+            break
+        rows = C.stored(rows, f"{name}-repeated{level}")
         mixed = rows.filter("several").drop("n", "least")
         contexts = mixed.groupBy("cls", "ctx").agg(F.count("*").alias("n"), F.min("k1").alias("least"))
+        contexts = C.stored(contexts, f"{name}-contexts{level}")
         mixed = mixed.join(contexts, ["cls", "ctx"])
-        if block:
-            mixed = C.stored(mixed, f"{name}-mixed{level}")
-        hits = rows.filter("not several").unionByName(mixed)
-        lead = F.col("k1") == F.col("least")
+        hits = rows.filter("not several").drop("several").unionByName(mixed.drop("several"))
         settled = ~lead if earlier_only else F.col("n") >= 2
         spans.append(hits.filter(settled & F.col("need")).select("k1", "k2", _packed(F.col("lo"), F.col("more") + kind.length).alias("span")))
-        if block:
-            need = F.col("need") if earlier_only else F.col("need") & (F.col("n") == 1)
-            ask = _packed(F.col("lo"), F.shiftleft(F.col("more").cast("long"), 17) + F.shiftleft(F.col("far"), 1) + need.cast("int"))
-            asked = mixed.filter(lead).groupBy("k1", "k2").agg(F.collect_list(ask).alias("asked"))
-            rows = keyed.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "asked").mapInArrow(_split(kind, block), ROWS)
+        need = F.col("need") if earlier_only else F.col("need") & (F.col("n") == 1)
+        ask = _packed(F.col("lo"), F.shiftleft(F.col("more").cast("long"), 17) + F.shiftleft(F.col("far"), 1) + need.cast("int"))
+        asked = mixed.filter(lead).groupBy("k1", "k2").agg(F.collect_list(ask).alias("asked"))
+        rows = keyed.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "asked").mapInArrow(_split(kind, block), ROWS)
     return reduce(DataFrame.unionByName, spans).groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
 
 
