@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cohortloom.llm import common as C
+from cohortloom.llm.near_dedup import near_duplicates
 from cohortloom.llm.substring_dedup import dedup_substrings
 from cohortloom.llm.suffix_dedup import dedup_suffixes
 from cohortloom.plans.catalog import query
@@ -16,3 +17,8 @@ def op3(spark, sf):
 @query("op9_substring_dedup")
 def op9(spark, sf):
     return dedup_substrings(C.documents(spark, sf)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op8_near_dedup")
+def op8(spark, sf):
+    return near_duplicates(C.documents(spark, sf))
