@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from cohortloom.llm import common as C
 from cohortloom.llm.near_dedup import near_duplicates
+from cohortloom.llm.packing import pack
 from cohortloom.llm.substring_dedup import dedup_substrings
 from cohortloom.llm.suffix_dedup import dedup_suffixes
+from cohortloom.llm.warc_zip import read_archives, write_archives
 from cohortloom.plans.catalog import query
 
 
@@ -22,3 +24,14 @@ def op9(spark, sf):
 @query("op8_near_dedup")
 def op8(spark, sf):
     return near_duplicates(C.documents(spark, sf))
+
+
+@query("op2_packing")
+def op2(spark, sf):
+    return pack(C.documents(spark, sf)).drop("ids")
+
+
+@query("op6_warc_zip")
+def op6(spark, sf):
+    records = read_archives(write_archives(spark.read.parquet(f"{sf}/pages.parquet")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
