@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from cohortloom.llm import common as C
+from cohortloom.llm import language, toxicity
 from cohortloom.llm.near_dedup import near_duplicates
 from cohortloom.llm.packing import pack
 from cohortloom.llm.substring_dedup import dedup_substrings
 from cohortloom.llm.suffix_dedup import dedup_suffixes
+from cohortloom.llm.toxicity import score_toxicity
 from cohortloom.llm.warc_zip import read_archives, write_archives
 from cohortloom.plans.catalog import query
 
@@ -35,3 +39,20 @@ def op2(spark, sf):
 def op6(spark, sf):
     records = read_archives(write_archives(spark.read.parquet(f"{sf}/pages.parquet")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _fold(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@query("op1_toxicity")
+def op1(spark, sf):
+    docs = C.documents(spark, sf)
+    scored = score_toxicity(docs, *toxicity.learn(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+    return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op5_language")
+def op5(spark, sf):
+    docs = C.documents(spark, sf)
+    return language.predict(docs, language.learn(docs)).select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
