@@ -35,7 +35,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-def text_keys(docs: DataFrame) -> DataFrame:
+def text_keys(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """``k1`` (doc_id, null as the least long), ``k2`` (hash of the text), ``text`` (null as empty).
 
     Rows that agree in both keys hold equal texts, so results per key fit each of them.
@@ -45,6 +45,7 @@ def text_keys(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"),
         F.xxhash64(text).alias("k2"),
         text.alias("text"),
+        *carry,
     )
 
 

@@ -215,3 +215,11 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 96, rows: i
     ids = ids.select("k2", "size", F.coalesce("root", "k1").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     out = keyed.select("k1", "k2", F.octet_length("text").alias("size")).join(ids, ["k2", "size"])
     return out.select(C.doc_id_of(F.col("k1")).alias("doc_id"), C.doc_id_of(F.col("root")).alias("class_id"), F.col("links").cast("long"))
+
+
+def one_of_each(docs: DataFrame, **settings) -> DataFrame:
+    """One row of ``docs`` per class, the one with the least doc_id, with all its columns."""
+    lead = near_duplicates(docs, **settings).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    lead = C.stored(lead.select(F.col("doc_id").alias("_lead")).distinct(), "near-leads")
+    kept = docs.join(lead, F.col("doc_id").cast("long").eqNullSafe(F.col("_lead")), "left_semi")
+    return kept.dropDuplicates(["doc_id"])

@@ -12,7 +12,8 @@ any other suffix is too short. What stays in an interval of two or more suffixes
 
 Null text: no bytes, nothing removed. Matches never cross rows; a window repeated in its own row
 counts. Rows with one doc_id and text count as two copies of each other, and both lose the repeats.
-Texts shorter than ``length`` bytes stay whole. An empty table gives no rows.
+Texts shorter than ``length`` bytes stay whole. ``kept_text`` leaves out
+characters that a cut leaves in part; the digest is of all kept bytes. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,10 +52,10 @@ def suffix_order(row: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return order
 
 
-def dedup_suffixes(docs: DataFrame, length: int = 200, seed: int = 16) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` for each row of ``docs`` (doc_id, text)."""
-    keyed = C.text_keys(docs)
-    spans = removed_spans(keyed, Windows(length, seed, True), False, shard=suffix_order, name="suffix")
+def dedup_suffixes(docs: DataFrame, length: int = 200, seed: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``carry``, ``n_bytes, n_removed, n_spans, kept_sha256, kept_text`` for each row of ``docs`` (doc_id, text)."""
+    keyed = C.text_keys(docs, carry)
+    spans = removed_spans(keyed.select("k1", "k2", "text"), Windows(length, seed, True), False, shard=suffix_order, name="suffix")
 
     def finish(batches):
         import pyarrow as pa
@@ -72,17 +73,18 @@ def dedup_suffixes(docs: DataFrame, length: int = 200, seed: int = 16) -> DataFr
                     runs = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
                     own = own[~mask]
                 own = own.tobytes()
-                out.append((n, gone, runs, hashlib.sha256(own).hexdigest(), own))
+                out.append((n, gone, runs, hashlib.sha256(own).hexdigest(), own.decode("utf-8", "ignore")))
             n, gone, runs, sha, kept = zip(*out) if out else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("k1"), batch.column("k2"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
-                    pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()),
+                    batch.column("k1"), *(batch.column(c) for c in carry), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
+                    pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string()),
                 ],
-                ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                ["k1", *carry, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
             )
 
-    done = keyed.join(spans, ["k1", "k2"], "left").select("k1", "k2", "text", "spans").mapInArrow(
-        finish, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    own = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    done = keyed.join(spans, ["k1", "k2"], "left").select("k1", *carry, "text", "spans").mapInArrow(
+        finish, f"k1 long, {own}n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     )
-    return done.select(C.doc_id_of(done.k1).alias("doc_id"), "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    return done.select(C.doc_id_of(done.k1).alias("doc_id"), *carry, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
