@@ -89,6 +89,25 @@ def test_near_duplicates(spark, texts):
     assert near_dedup.one_of_each(frame(spark, texts)).count() == len({r.class_id for r in got.values()})
 
 
+def test_near_duplicates_of_a_large_spread_group(spark):
+    r, base = random.Random(9), prose(150, 20).split()
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(r.choice((0, 1, 2, 3, 5, 8))):
+            words[r.randrange(150)] = f"w{r.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    bags = {i: np.sort([hash(" ".join(t.split()[k : k + 5])) & 0xFFFFFFFF for k in range(146)]) for i, t in rows}
+    root = {i: i for i in bags}
+    for i in bags:
+        for j in range(i):
+            if near_dedup.overlap(bags[i], bags[j]) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == root and len(set(root.values())) > 1
+
+
 def test_bagminhash_estimates_weighted_similarity():
     r = np.random.default_rng(1)
     a = np.repeat(np.arange(40, dtype=np.uint64), r.integers(1, 9, 40))
@@ -97,7 +116,7 @@ def test_bagminhash_estimates_weighted_similarity():
     hits, want = 0, near_dedup.overlap(np.sort(a), np.sort(b))
     for k in range(60):
         x, y = (np.uint64(k * 1000) + v for v in (a, b))
-        s = near_dedup.signatures(np.repeat([0, 1], [len(x), len(y)]), np.concatenate([x, y]), 2, 96)
+        s = near_dedup.signatures(np.repeat([0, 1], [len(x), len(y)]), np.concatenate([x, y]), 2, 190)
         hits += (s[0] == s[1]).mean()
     assert abs(hits / len(salt) - want) < 0.03
 
