@@ -119,12 +119,26 @@ def _running(d: DataFrame, value: Column, from_large: bool) -> DataFrame:
     )
 
 
+def _any_of(p: Column, n: Column) -> Column:
+    """Odds that the least of ``n`` independent P is at most ``p``."""
+    return F.when(p >= 1, F.lit(1.0)).otherwise(-F.expm1(n * F.log1p(-p)))
+
+
+# Other names of the correction methods.
+METHOD_ALIASES = {
+    "b": "bonferroni", "bonf": "bonferroni", "s": "sidak", "h": "holm", "hs": "holm-sidak", "sh": "simes-hochberg",
+    "fdr_i": "fdr_bh", "fdr_p": "fdr_bh", "fdri": "fdr_bh", "fdrp": "fdr_bh",
+    "fdr_n": "fdr_by", "fdr_c": "fdr_by", "fdrn": "fdr_by", "fdrcorr": "fdr_by",
+}
+
+
 def adjust_p(tests: DataFrame, p_col: str = "P", method: str = "fdr_bh") -> DataFrame:
     """Add ``P_adj`` over all non-null P of the table."""
+    method = METHOD_ALIASES.get(method.lower(), method.lower())
     p, m = F.col("p"), F.col("m").cast("double")
     single = {
         "bonferroni": lambda p, m: F.least(F.lit(1.0), p * m),
-        "sidak": lambda p, m: -F.expm1(m * F.log1p(-p)),
+        "sidak": _any_of,
     }
     if method in single:
         n = tests.agg(F.count(p_col).alias("n")).scalar()
@@ -141,7 +155,7 @@ def adjust_p(tests: DataFrame, p_col: str = "P", method: str = "fdr_bh") -> Data
     elif method == "holm":
         adj = _running(d, (m - F.col("before")) * p, False)
     elif method == "holm-sidak":
-        adj = _running(d, -F.expm1((m - F.col("before")) * F.log1p(-p)), False)
+        adj = _running(d, _any_of(p, m - F.col("before")), False)
     else:
         raise ValueError(f"unsupported correction method: {method}")
     adj = adj.withColumnRenamed("p", "__p")

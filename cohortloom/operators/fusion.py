@@ -170,7 +170,7 @@ def optimise_weights(
                 quad.append(list(vecs.join(y, ["g", "id"]).agg(*forms).first()))
             return _quality(np.asarray(vals[0]), np.array(quad), k)
 
-        w = ascend(gap, inform, steps=10)
+        w = ascend(gap, inform)
     return sorted(zip(names, w.tolist(), cka_mean.tolist()), key=lambda t: -t[1])
 
 

@@ -57,11 +57,11 @@ def tips(tree: DataFrame) -> DataFrame:
     return tree.join(inner, "node", "left_anti")
 
 
-def ancestors(tree: DataFrame, max_doublings: int = 40) -> DataFrame:
+def ancestors(tree: DataFrame) -> DataFrame:
     """``(node, anc)`` with every node its own ancestor; path doubling, log2(depth) joins."""
     up = cut(tree.where(F.col("parent").isNotNull()).select("node", F.col("parent").alias("anc")))
     all_pairs, n = up, up.count()
-    for _ in range(max_doublings):
+    while True:
         above = all_pairs.select(F.col("node").alias("mid"), F.col("anc").alias("top"))
         step = all_pairs.join(above, F.col("anc") == F.col("mid")).select("node", F.col("top").alias("anc"))
         all_pairs = cut(all_pairs.unionByName(step).distinct())

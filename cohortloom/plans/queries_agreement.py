@@ -295,6 +295,8 @@ def _adjust_sql(method: str) -> str:
         "holm": "max((m - k + 1) * p) OVER (ORDER BY k)",
         "simes-hochberg": "min((m - k + 1) * p) OVER (ORDER BY k DESC)",
         "bonferroni": "p * m",
+        "sidak": "1 - pow(1 - p, m)",
+        "holm-sidak": "max(1 - pow(1 - p, m - k + 1)) OVER (ORDER BY k)",
     }[method]
     return f"{base} SELECT id::BIGINT AS id, round(least(1.0, {expr}), 6) AS p_adj FROM r"
 
@@ -308,7 +310,7 @@ def _adjusted(method):
     return run
 
 
-for _m in ("fdr_bh", "fdr_by", "holm", "simes-hochberg", "bonferroni"):
+for _m in ("fdr_bh", "fdr_by", "holm", "simes-hochberg", "bonferroni", "sidak", "holm-sidak"):
     query("adjust_" + _m.replace("-", "_"), _adjust_sql(_m))(_adjusted(_m))
 
 

@@ -148,9 +148,32 @@ def test_informativeness_and_degeneracy(spark):
     assert r["const"]["constant_feature"] and r["const"]["low_informativeness_flag"]
     rep = Q.check_degeneracy(features=df, id_col="id")
     assert rep["status"] == "WARN" and rep["checks"]["all_missing_feature_count"] == 1
-    assert Q.check_degeneracy(features=df.limit(3), id_col="id")["status"] == "FAIL"
+    assert rep["warnings"] == ["empty_features"] and rep["failures"] == []
+    short = Q.check_degeneracy(features=df.limit(3), id_col="id")
+    assert short["status"] == "FAIL" and "few_samples" in short["failures"]
     one = spark.createDataFrame([("a",), ("a",)], "label string")
-    assert Q.check_degeneracy(labels=one)["status"] == "FAIL"
+    assert Q.check_degeneracy(labels=one)["failures"] == ["single_label"]
+    assert Q.check_degeneracy(labels=one.limit(0))["failures"] == ["no_labels"]
+
+
+def test_gate_codes(spark):
+    flights = [Q.DatasetPreflight("a", "a", 100, 3, "id", 90, 0, 10, ""), Q.DatasetPreflight("b", "b", 0, 1, "id", 0, 0, 0, "")]
+    gate = Q.quality_gate(flights, [{"jaccard": 0.1}, {"jaccard": None}])
+    assert gate["status"] == "FAIL" and gate["failures"] == ["b: no_rows"]
+    assert sorted(gate["warnings"]) == ["a: duplicate_ids", "b: single_column", "id_overlap: weak_id_overlap"]
+    assert Q.quality_gate(flights[:1], [], {"max_duplicate_id_fraction_warn": 0.2})["status"] == "PASS"
+
+
+def test_correction_names_and_certain_p(spark):
+    t = spark.createDataFrame([(0.01,), (0.2,), (1.0,), (None,)], "P double")
+    for short, full in (("s", "sidak"), ("hs", "holm-sidak"), ("fdrp", "fdr_bh")):
+        a, b = ({r["P"]: r["P_adj"] for r in E.adjust_p(t, "P", m).collect()} for m in (short, full))
+        assert a == b and a[1.0] == 1.0 and a[None] is None
+
+
+def test_long_cells_are_read(spark):
+    df = spark.createDataFrame([("a", "1." + "0" * 80), ("b", "0")], "id string, v string")
+    assert Q.feature_informativeness(df, "id").first()["feature_type"] == "binary"
 
 
 def test_resampling_ignores_partitioning(spark):
