@@ -1,6 +1,6 @@
 """ID set algebra over any number of datasets from one membership pass.
 
-Each id is reduced to a bit mask of the datasets that contain it; unions,
+Each id is reduced to a bit mask (as many words as needed) of the datasets that contain it; unions,
 intersections, pairwise overlaps and coverages are then sums over the few
 distinct masks. The shuffle is one partial-aggregated group-by on id.
 """
@@ -9,25 +9,28 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REFERENCE_HINT = "mic"  # fixed value: dataset name preferred as coverage reference
+BITS = 62  # datasets per word of a mask
 
 
 def id_masks(datasets: dict[str, DataFrame]) -> DataFrame:
-    """``(id, mask)`` for frames with an ``id`` column; NULL ids are ignored."""
-    if len(datasets) > 62:
-        raise ValueError("at most 62 datasets per comparison")
+    """``(id, mask)`` for frames with an ``id`` column, ``mask`` an array of words; NULL ids are ignored."""
+    words = range(-(-len(datasets) // BITS))
     parts = [
-        df.select(F.col("id").cast("string").alias("id"), F.lit(1 << i).cast("bigint").alias("m"))
+        df.select(
+            F.col("id").cast("string").alias("id"),
+            *(F.lit(1 << i % BITS if i // BITS == w else 0).cast("bigint").alias(f"m{w}") for w in words),
+        )
         for i, df in enumerate(datasets.values())
     ]
     return (
         reduce(DataFrame.unionByName, parts)
         .where(F.col("id").isNotNull())
         .groupBy("id")
-        .agg(F.bit_or("m").alias("mask"))
+        .agg(F.array(*(F.bit_or(f"m{w}") for w in words)).alias("mask"))
     )
 
 
@@ -36,8 +39,9 @@ def id_union(datasets: dict[str, DataFrame]) -> DataFrame:
 
 
 def id_intersection(datasets: dict[str, DataFrame]) -> DataFrame:
-    full = (1 << len(datasets)) - 1
-    return id_masks(datasets).where(F.col("mask") == full).select("id")
+    n = len(datasets)
+    full = [(1 << min(BITS, n - w)) - 1 for w in range(0, n, BITS)]
+    return id_masks(datasets).where(F.col("mask") == F.array(*(F.lit(m).cast("bigint") for m in full))).select("id")
 
 
 def id_difference(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -49,6 +53,10 @@ def _mask_counts(datasets) -> DataFrame:
     return id_masks(datasets).groupBy("mask").agg(F.count("*").alias("n"))
 
 
+def _has(i: str | int) -> Column:
+    """Whether dataset number ``i`` (a column or a literal) is in the mask."""
+    return F.expr(f"(shiftright(mask[cast({i} div {BITS} as int)], cast({i} % {BITS} as int)) & 1) = 1")
+
 
 def pairwise_overlap(datasets: dict[str, DataFrame]) -> DataFrame:
     names = list(datasets)
@@ -60,8 +68,7 @@ def pairwise_overlap(datasets: dict[str, DataFrame]) -> DataFrame:
         for j, b in enumerate(names)
         if i < j
     ]
-    has_a = F.expr("(shiftright(mask, i) & 1) = 1")
-    has_b = F.expr("(shiftright(mask, j) & 1) = 1")
+    has_a, has_b = _has("i"), _has("j")
 
     def total(cond):
         return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("bigint")
@@ -100,8 +107,7 @@ def coverage_against_reference(
     names = list(datasets)
     ref = reference_dataset(names, reference)
     each = [F.struct(F.lit(i).alias("i"), F.lit(n).alias("dataset")) for i, n in enumerate(names)]
-    mine = F.expr("(shiftright(mask, i) & 1) = 1")
-    theirs = F.expr(f"(shiftright(mask, {names.index(ref)}) & 1) = 1")
+    mine, theirs = _has("i"), _has(names.index(ref))
 
     def total(cond):
         return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("bigint")

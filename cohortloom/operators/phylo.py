@@ -57,6 +57,11 @@ def tips(tree: DataFrame) -> DataFrame:
     return tree.join(inner, "node", "left_anti")
 
 
+def inner_nodes(tree: DataFrame) -> DataFrame:
+    parents = tree.where(F.col("parent").isNotNull()).select(F.col("parent").alias("node")).distinct()
+    return tree.join(parents, "node", "left_semi")
+
+
 def ancestors(tree: DataFrame) -> DataFrame:
     """``(node, anc)`` with every node its own ancestor; path doubling, log2(depth) joins."""
     up = cut(tree.where(F.col("parent").isNotNull()).select("node", F.col("parent").alias("anc")))
@@ -98,13 +103,22 @@ def patristic(tree: DataFrame, anc: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def _scores(paths: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(run, score)``: mean between- over mean within-cluster distance of ``labels(run, id, label)``."""
-    size = labels.groupBy("run", "label").agg(F.count("*").alias("n"))
+def _scores(tip_edges: DataFrame, above: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(run, score)``: mean between- over mean within-cluster distance of ``labels(run, id, label)``.
+
+    Tips are counted once, under their parents; an edge above a tip has a closed form. Only counts per
+    (run, parent, label) meet the edges ``above`` inner nodes.
+    """
+    low = cut(
+        labels.join(tip_edges, "id")
+        .groupBy("run", "parent", "label")
+        .agg(F.count("*").alias("s"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("tip_length"))
+    )
+    size = low.groupBy("run", "label").agg(F.sum("s").alias("n"))
     below = (
-        paths.join(labels, "id")
+        low.join(above, "parent")
         .groupBy("run", "edge", "label")
-        .agg(F.count("*").alias("s"), F.max("length").alias("length"))
+        .agg(F.sum("s").alias("s"), F.max("length").alias("length"))
         .join(size, ["run", "label"])
     )
     s, n = F.col("s").cast("double"), F.col("n").cast("double")
@@ -112,13 +126,20 @@ def _scores(paths: DataFrame, labels: DataFrame) -> DataFrame:
         F.max("length").alias("length"), F.sum(s * (n - s)).alias("within"), F.sum("s").cast("double").alias("all")
     )
     total = size.groupBy("run").agg(F.sum("n").cast("double").alias("total"), F.sum(pairs_of("n")).alias("wp"))
-    t = (
-        edges.join(total, "run")
-        .groupBy("run", "total", "wp")
-        .agg(
-            F.sum(F.col("length") * F.col("within")).alias("w"),
-            F.sum(F.col("length") * F.col("all") * (F.col("total") - F.col("all"))).alias("t"),
-        )
+    at_tips = low.join(size, ["run", "label"]).groupBy("run").agg(
+        F.sum(F.col("tip_length") * (F.col("n") - 1)).alias("tip_w"), F.sum("tip_length").alias("tip_length")
+    )
+    inner = edges.join(total.select("run", "total"), "run").groupBy("run").agg(
+        F.sum(F.col("length") * F.col("within")).alias("inner_w"),
+        F.sum(F.col("length") * F.col("all") * (F.col("total") - F.col("all"))).alias("inner_t"),
+    )
+    zero = F.lit(0.0)
+    t = at_tips.join(total, "run").join(inner, "run", "left").select(
+        "run",
+        "total",
+        "wp",
+        (F.col("tip_w") + F.coalesce("inner_w", zero)).alias("w"),
+        (F.col("tip_length") * (F.col("total") - 1) + F.coalesce("inner_t", zero)).alias("t"),
     )
     bp = pairs_of("total") - F.col("wp")
     between = F.when(bp > 0, (F.col("t") - F.col("w")) / bp)
@@ -131,16 +152,17 @@ def phylo_purity(
 ) -> DataFrame:
     """``Purity_between_over_within, Perm_P, N`` for ``labels(id, label)`` on the tree's tips.
 
+    ``anc`` holds the ancestors of the inner nodes at least (``ancestors(inner_nodes(tree))``).
     The observed labeling is run -1 of the same grouped job as the permutations.
     """
-    named = tips(tree).select("node", F.coalesce("name", "node").alias("id"))
+    named = tips(tree).select(F.coalesce("name", "node").alias("id"), "parent", "length")
     kept = labels.join(named, "id", "left_semi").select("id", "label")
     edge = tree.where(F.col("parent").isNotNull()).select(F.col("node").alias("anc"), "length")
-    paths = named.join(anc, "node").join(edge, "anc").select("id", F.col("anc").alias("edge"), "length")
+    above = anc.join(edge, "anc").select(F.col("node").alias("parent"), F.col("anc").alias("edge"), "length")
     runs = kept.withColumn("run", F.lit(-1).cast("bigint"))
     if n_perm > 0:
         runs = runs.unionByName(permute_labels(kept, n_perm, seed))
-    score = cut(_scores(paths, runs))
+    score = cut(_scores(named, above, runs))
     s0 = score.where("run = -1").agg(F.max("score").alias("s")).scalar()
     n = kept.agg(F.count("*").alias("n")).scalar()
     out = score.agg(

@@ -219,16 +219,14 @@ def _panelled_gram(rows: DataFrame, p: int, panel: int) -> DataFrame:
     )
 
 
-def phi_pairs(rows: DataFrame, max_pairs: int | None = None) -> DataFrame:
-    """Pearson phi of feature pairs ``fi < fj``; ``max_pairs`` keeps the first pairs in order."""
+def phi_pairs(rows: DataFrame) -> DataFrame:
+    """Pearson phi of all feature pairs ``fi < fj``."""
     gram = feature_gram(rows)
     n = rows.agg(F.count("*").alias("n")).scalar()
     ones = gram.where("fi = fj")
-    pairs = gram.where("fi < fj")
-    if max_pairs is not None:
-        pairs = pairs.orderBy("fi", "fj").limit(max_pairs)
     t = (
-        pairs.join(ones.select("fi", F.col("both").alias("a")), "fi")
+        gram.where("fi < fj")
+        .join(ones.select("fi", F.col("both").alias("a")), "fi")
         .join(ones.select("fj", F.col("both").alias("b")), "fj")
         .withColumn("n", n.cast("double"))
     )

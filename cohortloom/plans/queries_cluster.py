@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortloom.operators import consensus as C
 from cohortloom.operators import fusion as U
 from cohortloom.operators import phylo as P
-from cohortloom.operators import strength, topology
+from cohortloom.operators import strength
 from cohortloom.operators import tiles as T
 from cohortloom.operators.layers import row_vectors
 from cohortloom.plans import testbed as B
@@ -302,7 +302,7 @@ def patristic_order_partners(spark, sf):
 @query(
     "phylo_purity",
     """WITH h AS (SELECT CAST(c_custkey AS VARCHAR) AS id, n_nationkey AS n, n_regionkey AS r, c_mktsegment AS l FROM customer JOIN nation ON n_nationkey = c_nationkey),
-  runs AS (SELECT unnest(range(20)) AS run), d AS (SELECT run, id, n, r, row_number() OVER (PARTITION BY run ORDER BY md5('3:' || run || ':' || id), id) AS k FROM h, runs),
+  runs AS (SELECT unnest(range(500)) AS run), d AS (SELECT run, id, n, r, row_number() OVER (PARTITION BY run ORDER BY md5('3:' || run || ':' || id), id) AS k FROM h, runs),
   ls AS (SELECT l, row_number() OVER (ORDER BY l) AS k FROM h), a AS (SELECT -1 AS run, id, n, r, l FROM h UNION ALL SELECT run, id, n, r, ls.l FROM d JOIN ls USING (k)),
   g AS (SELECT run, n, r, l, count(*)::DOUBLE AS c FROM a GROUP BY 1, 2, 3, 4),
   q AS (SELECT x.run, x.l = y.l AS same, CASE WHEN x.n = y.n THEN 2.0 WHEN x.r = y.r THEN 4.0 ELSE 6.0 END AS dist,
@@ -310,25 +310,15 @@ def patristic_order_partners(spark, sf):
   s AS (SELECT run, sum(CASE WHEN NOT same THEN dist * pairs END) / sum(CASE WHEN NOT same THEN pairs END) AS b, sum(CASE WHEN same THEN dist * pairs END) / sum(CASE WHEN same THEN pairs END) AS w FROM q GROUP BY 1),
   z AS (SELECT run, b / (w + 1e-12) AS score FROM s)
   SELECT round(max(CASE WHEN run = -1 THEN score END), 6) AS "Purity_between_over_within",
-  round((count(CASE WHEN run >= 0 AND score >= (SELECT score FROM z WHERE run = -1) - 1e-12 THEN 1 END) + 1) / 21.0, 6) AS "Perm_P", (SELECT count(*) FROM h)::BIGINT AS "N" FROM z""",
+  round((count(CASE WHEN run >= 0 AND score >= (SELECT score FROM z WHERE run = -1) - 1e-12 THEN 1 END) + 1) / 501.0, 6) AS "Perm_P", (SELECT count(*) FROM h)::BIGINT AS "N" FROM z""",
 )
 def phylo_purity(spark, sf):
     tree = _customer_tree(spark, sf)
     lab = B.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("label"))
-    df = P.phylo_purity(tree, P.ancestors(tree), lab, 20, 3)
+    df = P.phylo_purity(tree, P.ancestors(P.inner_nodes(tree)), lab, 500, 3)
     return df.select(F.round("Purity_between_over_within", 6).alias("Purity_between_over_within"), F.round("Perm_P", 6).alias("Perm_P"), "N")
 
 
-@query("persistence_diagram")
-def persistence_diagram(spark, sf):
-    return topology.persistence_diagram(B.emb_rows(spark, sf), 1, 120, 42)
-
-
-@query("topology_summary")
-def topology_summary(spark, sf):
-    return topology.topology_summary(topology.persistence_diagram(B.emb_rows(spark, sf), 1, 120, 42))
-
-
 @query(
     "row_vector_silhouette",
     """WITH h AS (SELECT DISTINCT o_custkey AS id, p_brand AS f FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey),
