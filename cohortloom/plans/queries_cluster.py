@@ -106,7 +106,7 @@ TRAIT_K = 3
 
 
 def _register():
-    C.register_algorithm("trait_sum", lambda X, k, seed: X.sum(1).astype(int) % k)
+    C.register_algorithm("trait_sum", lambda X, k, seed: X.sum(1).astype(int) % k, row_wise=True)
 
 
 RUN_SQL = f"""r AS (SELECT unnest(range(12)) AS run), e AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_sum([(v > 0)::INT for v in embedding]) % {TRAIT_K} AS l FROM embeddings),
@@ -211,8 +211,8 @@ def n_runs_sensitivity(spark, sf):
 
 def _fusion_views(spark, sf):
     """Two label-history views of the embeddings: runs of two row-wise algorithms."""
-    C.register_algorithm("trait_sum", lambda X, k, seed: X.sum(1).astype(int) % k)
-    C.register_algorithm("first_traits", lambda X, k, seed: (X[:, 0] + 2 * X[:, 1]).astype(int) % k)
+    C.register_algorithm("trait_sum", lambda X, k, seed: X.sum(1).astype(int) % k, row_wise=True)
+    C.register_algorithm("first_traits", lambda X, k, seed: (X[:, 0] + 2 * X[:, 1]).astype(int) % k, row_wise=True)
     rows = B.emb_rows(spark, sf)
     n = rows.count()
     hists = {}

@@ -224,3 +224,12 @@ def test_weight_search_improves_on_uniform():
     assert math.isclose(w.sum(), 1) and a @ w > 0.9
     assert np.allclose(to_simplex(np.array([0.2, 0.3, 0.5])), [0.2, 0.3, 0.5])
     assert pytest.approx(to_simplex(np.array([3.0, 0.0]))) == [1.0, 0.0]
+
+
+def test_overlap_of_many_datasets(spark):
+    from cohortloom.operators import overlap as O
+
+    sets = {f"d{i}": spark.createDataFrame([("all",), (f"own{i}",), (None,)], "id string") for i in range(70)}
+    assert [r["id"] for r in O.id_intersection(sets).collect()] == ["all"]
+    got = {(r["dataset_a"], r["dataset_b"]): (r["n_ids_a"], r["n_ids_b"], r["intersection"], r["union"]) for r in O.pairwise_overlap(sets).collect()}
+    assert len(got) == 70 * 69 // 2 and set(got.values()) == {(2, 2, 1, 3)}
