@@ -259,3 +259,13 @@ def test_pipeline(spark, tmp_path, texts):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {d for d, _ in texts} - {1, 2, 3, 8}
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    a, b, c, d, e = (prose(60, 700 + i) for i in range(5))
+    rows = [(None, a), (7, a), (None, b), (9, b), (None, c), (3, d), (3, e), (3, e)]
+    docs = frame(spark, rows)
+    got = Counter((r.doc_id, r.class_id, r.links) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == Counter([(None, 7, 0), (7, 7, 0), (None, 9, 0), (9, 9, 0), (None, None, 0), (3, 3, 0), (3, 3, 0), (3, 3, 0)])
+    kept = Counter((r.doc_id, r.text) for r in near_dedup.one_of_each(docs).collect())
+    assert kept == Counter([(7, a), (9, b), (None, c), (3, d), (3, e)])
