@@ -107,7 +107,7 @@ class Scorer:
             if i <= seen:
                 continue
             a = i
-            while a > 0 and not tokens[a - 1][2] and i - a < 12:  # no factor looks further back than its clause
+            while a > seen + 1 and not tokens[a - 1][2]:  # to the clause's first token, as report and target hold for all of it; once per clause
                 a -= 1
             state, score, k = 0, 0.0, a
             while k < len(tokens):

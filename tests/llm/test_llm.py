@@ -269,3 +269,11 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert got == Counter([(None, 7, 0), (7, 7, 0), (None, 9, 0), (9, 9, 0), (None, None, 0), (3, 3, 0), (3, 3, 0), (3, 3, 0)])
     kept = Counter((r.doc_id, r.text) for r in near_dedup.one_of_each(docs).collect())
     assert kept == Counter([(7, a), (9, b), (None, c), (3, d), (3, e)])
+
+
+def test_toxicity_reads_clauses_from_their_first_token():
+    score, far = toxicity.Scorer({"idiot": 4.0}), " thing" * 30
+    assert score(f"he wrote{far} idiot")[0] == pytest.approx(0.6 * 4.0)
+    assert score(f"you{far} kill")[0] == pytest.approx(1.5)
+    assert score(f"he wrote{far}. the idiot")[0] == 4.0 and score(f"you{far}. then kill")[0] == pytest.approx(0.2 * 1.5)
+    assert score(f"he wrote idiot{far} idiot")[0] == pytest.approx(0.6 * 4.0 * (1.3 + 1))  # "he" is near the first
