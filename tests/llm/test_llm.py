@@ -277,3 +277,24 @@ def test_toxicity_reads_clauses_from_their_first_token():
     assert score(f"you{far} kill")[0] == pytest.approx(1.5)
     assert score(f"he wrote{far}. the idiot")[0] == 4.0 and score(f"you{far}. then kill")[0] == pytest.approx(0.2 * 1.5)
     assert score(f"he wrote idiot{far} idiot")[0] == pytest.approx(0.6 * 4.0 * (1.3 + 1))  # "he" is near the first
+
+
+def test_fingerprints_estimate_generalised_jaccard(spark):
+    r, rows = random.Random(3), []
+    words = prose(80, 900).split()
+    for i in range(60):  # each document is an edit of the one before it
+        words = [r.choice(WORDS) if r.random() < 0.02 * (i % 8) else w for w in words]
+        rows.append((i, " ".join(words)))
+    own = dict(rows)
+
+    def alike(a, b):
+        a, b = Counter(a.split()), Counter(b.split())
+        return sum((a & b).values()) / sum((a | b).values())
+
+    off = []
+    for x in fingerprints.fingerprints(frame(spark, rows)).collect():
+        a, b = own[x.doc_id], own[(x.doc_id - 1) % 60]
+        m = len(a) // 2
+        off += [x.near_edited - alike(a, a[: len(a) - m] + b[:m]), x.near_next - alike(a, b)]
+        assert abs(x.near_edited * 32 - round(x.near_edited * 32)) < 1e-9 and len(x.fingerprint) == 8 * 32
+    assert max(map(abs, off)) < 0.35 and abs(np.mean(off)) < 0.03 and np.sqrt(np.mean(np.square(off))) < 0.09
