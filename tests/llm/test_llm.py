@@ -298,3 +298,13 @@ def test_fingerprints_estimate_generalised_jaccard(spark):
         off += [x.near_edited - alike(a, a[: len(a) - m] + b[:m]), x.near_next - alike(a, b)]
         assert abs(x.near_edited * 32 - round(x.near_edited * 32)) < 1e-9 and len(x.fingerprint) == 8 * 32
     assert max(map(abs, off)) < 0.35 and abs(np.mean(off)) < 0.03 and np.sqrt(np.mean(np.square(off))) < 0.09
+
+
+def test_licenses_tell_versions_and_variants_apart(spark):
+    rows = [(i, f"{prose(9, i)} {n} {prose(9, i + 90)}") for i, (_, n) in enumerate(licenses.TEMPLATES)]
+    rows += [(100, " ".join(n for _, n in licenses.TEMPLATES if "version" in n)), (101, f"{licenses.BSD2} {prose(60, 1)} {licenses.BSD3}")]
+    got = {}
+    for r in licenses.scan_licenses(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert all(got[i] == {name} for i, (name, _) in enumerate(licenses.TEMPLATES))
+    assert got[100] == {name for name, n in licenses.TEMPLATES if "version" in n} and got[101] >= {"BSD-2-Clause", "BSD-3-Clause"}
