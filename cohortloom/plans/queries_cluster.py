@@ -160,7 +160,7 @@ def consensus_labels_all_algorithms(spark, sf):
     """Final labels per k from all three algorithms."""
     rows = B.emb_rows(spark, sf)
     n = rows.count()
-    runs = list(range(8))
+    runs = list(range(200))
     lab = C.run_labels(rows, ALL, [2, 3, 4], runs, 0.8, 42, n_rows=n)
     hist = C.label_histories(lab, {C.MAIN: runs}, 3, [2, 3, 4], rows)
     return C.consensus_labels(hist, 3, n).select("k", "id", "label")
@@ -169,7 +169,7 @@ def consensus_labels_all_algorithms(spark, sf):
 @query("stability_path")
 def stability_path(spark, sf):
     """Split-half NVI, silhouette and label counts per k."""
-    return C.stability_path(B.emb_rows(spark, sf), [2, 3, 4], ["kmodes", "agglomerative_hamming"], 10, 2).path
+    return C.stability_path(B.emb_rows(spark, sf), [2, 3, 4], ALL).path
 
 
 
@@ -203,7 +203,7 @@ def penalty_sensitivity(spark, sf):
 
 @query("n_runs_sensitivity")
 def n_runs_sensitivity(spark, sf):
-    return C.n_runs_sensitivity(B.emb_rows(spark, sf), 3, ["agglomerative_hamming"], [5, 10, 15])
+    return C.n_runs_sensitivity(B.emb_rows(spark, sf), 3, ALL)
 
 
 # --------------------------------------------------------------------- fusion
@@ -261,7 +261,7 @@ def kernel_weights(spark, sf):
 
 @query("prediction_strength")
 def prediction_strength(spark, sf):
-    return strength.prediction_strength(B.emb_rows(spark, sf), [2, 3, 4], 5)
+    return strength.prediction_strength(B.emb_rows(spark, sf), [2, 3, 4])
 
 
 # ----------------------------------------------------------------------- trees
