@@ -56,7 +56,7 @@ class Windows:
         return row[i], pos[i], start[i], start[np.append(i[1:], len(start)) - 1]
 
 
-def _emit(kind: Windows, shard=None):
+def _emit(kind: Windows):
     def run(batches):
         import pyarrow as pa
 
@@ -68,9 +68,6 @@ def _emit(kind: Windows, shard=None):
                 row, pos, lo, hi = kind.anchors(hashes, len(items), first)
                 cls = hashes(pos, pos + kind.seed)
                 ctx = hashes(lo, hi + kind.length) ^ C.mix(((pos - lo) << 32 | (hi - lo)).astype(np.uint64))
-                if shard is not None:
-                    order = shard(row, cls)
-                    row, pos, lo, hi, cls, ctx = row[order], pos[order], lo[order], hi[order], cls[order], ctx[order]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(cls.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(k1[i:j][row]), pa.array(k2[i:j][row]),
@@ -131,13 +128,13 @@ def _split(kind: Windows, block: int):
 ROWS = "cls long, ctx long, k1 long, k2 long, lo int, more int, far int, need boolean"
 
 
-def removed_spans(keyed: DataFrame, kind: Windows, earlier_only: bool, shard=None, name: str = "repeats") -> DataFrame:
+def removed_spans(keyed: DataFrame, kind: Windows, earlier_only: bool, name: str = "repeats") -> DataFrame:
     """``k1, k2, spans``: spans of windows to remove as start << 32 | items.
 
     ``earlier_only``: a window counts if it also starts under a smaller ``k1``; else if it starts
     anywhere else. ``keyed`` holds ``k1, k2, text``.
     """
-    rows, spans = keyed.mapInArrow(_emit(kind, shard), ROWS), []
+    rows, spans = keyed.mapInArrow(_emit(kind), ROWS), []
     for level, block in enumerate((*kind.blocks, 0)):
         rows = C.stored(rows, f"{name}-rows{level}")
         # Counted before they are dealt out, copies cost a row per task; most classes have one row and go here.

@@ -1,14 +1,9 @@
-"""Suffix-array dedup over bytes (op 3): shard transforms merged by interval refinement.
+"""Dedup of repeated byte strings (op 3), by hashes of anchors and contexts.
 
-Texts are parsed into anchors (content-defined, about one in 93 bytes for a length of 200), which
-gives a short string of symbols per document. Each shard (a block of documents) sorts the suffixes
-of its symbol strings once, which is its Burrows-Wheeler transform: equal prefixes stand together
-and the symbol before a suffix is known. Shards are merged without sorting suffixes again: an
-interval of the merged order is the sum of the shards' intervals of that prefix. Intervals are
-refined step by step: by symbol, then by the bytes on both sides of it (the context), and at the
-ends of matches byte by byte. An interval of one suffix drops out at once; its common prefix with
-any other suffix is too short. What stays in an interval of two or more suffixes whose prefix is
-``length`` bytes long is a repeat.
+Not by suffix arrays or Burrows-Wheeler transforms: no shard is sorted, and no intervals of shards are
+merged. Windows of ``length`` bytes are grouped by their content-defined anchor and compared by 64-bit
+hashes of their contexts, blocks and single windows (``repeats``, shared with op 9). A window met twice
+anywhere is a repeat; the result is the same as that of a suffix array, up to hash collisions.
 
 Null text: no bytes, nothing removed. Matches never cross rows; a window repeated in its own row
 counts. Rows with one doc_id and text count as two copies of each other, and both lose the repeats.
@@ -30,7 +25,7 @@ from cohortloom.llm.repeats import Windows, covered, removed_spans
 def suffix_order(row: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     """Suffix array of a block of symbol strings (one per row): ranks double until all differ.
 
-    The end of a row sorts first; equal suffixes of different rows stand in row order.
+    The end of a row sorts first; equal suffixes of different rows stand in row order. The query does not use it.
     """
     n = len(symbol)
     if not n:
@@ -55,7 +50,7 @@ def suffix_order(row: np.ndarray, symbol: np.ndarray) -> np.ndarray:
 def dedup_suffixes(docs: DataFrame, length: int = 200, seed: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, the columns ``carry``, ``n_bytes, n_removed, n_spans, kept_sha256, kept_text`` for each row of ``docs`` (doc_id, text)."""
     keyed = C.text_keys(docs, carry)
-    spans = removed_spans(keyed.select("k1", "k2", "text"), Windows(length, seed, True), False, shard=suffix_order, name="suffix")
+    spans = removed_spans(keyed.select("k1", "k2", "text"), Windows(length, seed, True), False, name="suffix")
 
     def finish(batches):
         import pyarrow as pa

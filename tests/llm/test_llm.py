@@ -308,3 +308,11 @@ def test_licenses_tell_versions_and_variants_apart(spark):
         got.setdefault(r.doc_id, set()).add(r.license)
     assert all(got[i] == {name} for i, (name, _) in enumerate(licenses.TEMPLATES))
     assert got[100] == {name for name, n in licenses.TEMPLATES if "version" in n} and got[101] >= {"BSD-2-Clause", "BSD-3-Clause"}
+
+
+def test_suffix_dedup_sorts_no_shards(spark, texts, monkeypatch):
+    def sort(*_):
+        raise AssertionError("sorted without use")
+
+    monkeypatch.setattr(suffix_dedup, "suffix_order", sort)
+    assert suffix_dedup.dedup_suffixes(frame(spark, texts)).count() == len(texts)
