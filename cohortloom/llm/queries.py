@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortloom.llm import common as C
-from cohortloom.llm import language, toxicity
+from cohortloom.llm import hard_negatives, language, sql, toxicity
 from cohortloom.llm.near_dedup import near_duplicates
 from cohortloom.llm.packing import pack
 from cohortloom.llm.substring_dedup import dedup_substrings
@@ -56,3 +56,8 @@ def op1(spark, sf):
 def op5(spark, sf):
     docs = C.documents(spark, sf)
     return language.predict(docs, language.learn(docs)).select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op13_hard_negatives", sql.HARD_NEGATIVES)
+def op13(spark, sf):
+    return hard_negatives.mine(hard_negatives.relabelled(spark.read.parquet(f"{sf}/embeddings.parquet")))
