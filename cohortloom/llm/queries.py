@@ -8,6 +8,7 @@ from cohortloom.llm import common as C
 from cohortloom.llm import hard_negatives, language, sql, toxicity
 from cohortloom.llm.near_dedup import near_duplicates
 from cohortloom.llm.packing import pack
+from cohortloom.llm.prefix_trie import prefix_nodes
 from cohortloom.llm.substring_dedup import dedup_substrings
 from cohortloom.llm.suffix_dedup import dedup_suffixes
 from cohortloom.llm.toxicity import score_toxicity
@@ -61,3 +62,8 @@ def op5(spark, sf):
 @query("op13_hard_negatives", sql.HARD_NEGATIVES)
 def op13(spark, sf):
     return hard_negatives.mine(hard_negatives.relabelled(spark.read.parquet(f"{sf}/embeddings.parquet")))
+
+
+@query("op12_prefix_trie", sql.PREFIX_TRIE)
+def op12(spark, sf):
+    return prefix_nodes(spark.read.parquet(f"{sf}/conversations.parquet"))

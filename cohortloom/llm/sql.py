@@ -18,3 +18,41 @@ SELECT p.anchor_id, p.positive_id, (row_number() OVER (PARTITION BY p.rid, p.oth
 FROM positives p JOIN scored n ON n.rid = p.rid AND NOT n.same AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
 QUALIFY rank <= 3
 """
+
+PREFIX_TRIE = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(octet_length(encode(coalesce(role, ''))), ':', coalesce(role, ''), coalesce(text, '')))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), crc(c, s, bit, v) AS (
+  SELECT DISTINCT c, c::VARCHAR, 0, 4294967295::BIGINT FROM turns
+  UNION ALL
+  SELECT c, s, bit + 1, xor(w >> 1, CASE WHEN w & 1 = 1 THEN 3988292384 ELSE 0 END)
+  FROM (SELECT c, s, bit, CASE WHEN bit % 8 = 0 THEN xor(v, ascii(s[bit // 8 + 1])::BIGINT) ELSE v END AS w FROM crc WHERE bit < 8 * length(s))
+), convs AS (
+  SELECT c, c - c % 100 AS base, xor(v, 4294967295) % 6 AS h FROM crc WHERE bit = 8 * length(s)
+), rebuilt AS (
+  SELECT convs.c, 0 AS part, pos, role, text FROM convs JOIN turns ON turns.c = base AND pos < h
+  UNION ALL
+  SELECT convs.c, 1, pos, role, text FROM convs JOIN turns ON turns.c = convs.c AND pos >= h
+), paths AS (
+  SELECT c, coalesce(list({'role': role, 'text': text} ORDER BY part, pos) FILTER (pos IS NOT NULL), []) AS path FROM convs LEFT JOIN rebuilt USING (c) GROUP BY c
+), members AS (
+  SELECT c, len(path) AS n_turns, unnest(range(0, len(path) + 1)) AS depth, path FROM paths
+), nodes AS (
+  SELECT depth, list_slice(path, 1, depth) AS prefix, list_slice(path, 1, depth - 1) AS above, min(c) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n_turns = depth), '') AS ends
+  FROM members GROUP BY ALL
+), kids AS (
+  SELECT depth - 1 AS depth, above AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+), weighed AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(prefix[depth].text) END AS saved
+  FROM nodes LEFT JOIN kids USING (depth, prefix)
+), up AS (
+  SELECT unnest(range(0, depth + 1)) AS d, prefix, n_children, saved FROM weighed
+), sums AS (
+  SELECT d AS depth, list_slice(prefix, 1, d) AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM up GROUP BY ALL
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM weighed n JOIN sums s USING (depth, prefix) LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.prefix = n.above
+"""
