@@ -40,7 +40,7 @@ WITH RECURSIVE turns AS (
 ), members AS (
   SELECT c, len(path) AS n_turns, unnest(range(0, len(path) + 1)) AS depth, path FROM paths
 ), nodes AS (
-  SELECT depth, list_slice(path, 1, depth) AS prefix, list_slice(path, 1, depth - 1) AS above, min(c) AS conv_id, count(*) AS n_convs,
+  SELECT depth, list_slice(path, 1, depth) AS prefix, list_slice(path, 1, greatest(depth - 1, 0)) AS above, min(c) AS conv_id, count(*) AS n_convs,
     coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n_turns = depth), '') AS ends
   FROM members GROUP BY ALL
 ), kids AS (
