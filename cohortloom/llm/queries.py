@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortloom.llm import common as C
 from cohortloom.llm import hard_negatives, language, sql, toxicity
 from cohortloom.llm.near_dedup import near_duplicates
+from cohortloom.llm.ngram_join import ngram_join
 from cohortloom.llm.packing import pack
 from cohortloom.llm.prefix_trie import prefix_nodes
 from cohortloom.llm.substring_dedup import dedup_substrings
@@ -64,6 +65,11 @@ def op13(spark, sf):
     return hard_negatives.mine(hard_negatives.relabelled(spark.read.parquet(f"{sf}/embeddings.parquet")))
 
 
+@query("op11_ngram_join", sql.NGRAM_JOIN)
+def op11(spark, sf):
+    return ngram_join(C.documents(spark, sf)).drop("links")
+
+
 @query("op12_prefix_trie", sql.PREFIX_TRIE)
 def op12(spark, sf):
     return prefix_nodes(spark.read.parquet(f"{sf}/conversations.parquet"))
