@@ -13,10 +13,14 @@ the smaller R, has z segments among them whose signatures are all cheap. Sets fo
 compared in cells of bounded size within their dear segments, where exact bounds (sizes, shingles that no
 other set there has, distance from a common leader) leave few pairs to verify.
 
+As every segment in which two sets differ holds a difference, a link of sizes a, b asks for more than one agreeing segment wherever
+its own bound is less than the group's H: sets and pairs that agree in fewer are left out before any set is read.
+
 Candidates are verified on their sets. Each set is first compared with the most central set that it
 meets, then only sets of different components are. Equal sets are one node from the start.
 
-Shingles are 64-bit hashes of words; equal hashes count as equal shingles, and equal sums of two mixes as equal sets.
+Shingles are hashes of words: 64 bits tell the shingles of one text apart, 48 of these bits compare two texts (odds of 1e-10 of
+one false match in a pair of 300 shingles each). Equal sums of two mixes count as equal sets.
 Null or wordless texts have an empty set and are linked with nothing: their own component. Null doc_id: a row
 like another, its component has the least doc_id that is not null, null if there is none. Rows that repeat, also in doc_id
 alone, each give a row. Very long texts are read whole, in tasks. An empty table gives no rows; other columns are ignored.
@@ -37,6 +41,8 @@ CELL_FEW, CELL_ALL = 512, 2048
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+KEPT = np.uint64((1 << 64) - (1 << 16))  # six of eight bytes of a hash
+HUB = 1024  # sets compared with one copy of a set that many are compared with
 KEY = ["k1", "k2"]
 
 
@@ -62,7 +68,24 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
     row, item = row[order], item[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
-    return row[new], item[new]
+    return row[new], item[new] & KEPT
+
+
+def packed(row: np.ndarray, item: np.ndarray, rows: int):
+    """The sets of rows as binaries of six bytes per shingle."""
+    import pyarrow as pa
+
+    at = np.searchsorted(row, np.arange(rows + 1)) * 6
+    raw = np.ascontiguousarray(item.view(np.uint8).reshape(-1, 8)[:, 2:]).reshape(-1)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def unpacked(bags: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of the shingles in a list of packed sets."""
+    raw = np.frombuffer(b"".join(bags), np.uint8).reshape(-1, 6)
+    item = np.zeros((len(raw), 8), np.uint8)
+    item[:, 2:] = raw
+    return np.repeat(np.arange(len(bags)), [len(b) // 6 for b in bags]), item.reshape(-1).view(np.uint64)
 
 
 def nodes_of(row: np.ndarray, item: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +152,9 @@ def _published(width: int, bands: Bands):
             for i, j, data, offsets in C.chunks(batch.column("text")):
                 row, item = sets_of(data, offsets, width)
                 node, n = nodes_of(row, item, j - i)
-                own, _, sig, _ = equal_signatures(row, item, n, bands)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node[own])], ["sig", "node"])
+                own, _, sig, step = equal_signatures(row, item, n, bands)
+                group = bands.of(np.maximum(n, 1))[own] - step
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node[own]), pa.array(group.astype(np.int32))], ["sig", "node", "g"])
 
     return run
 
@@ -139,29 +163,30 @@ def _shared(batches):
     """Of rows sorted by (sig, node): each once, if its sig has another node. One row is held back between batches."""
     import pyarrow as pa
 
-    sig, node, tied = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    sig, node, group, tied = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), False
     for batch in batches:
         s = np.concatenate([sig, batch.column("sig").to_numpy()])
         v = np.concatenate([node, batch.column("node").to_numpy()])
+        g = np.concatenate([group, batch.column("g").to_numpy()])
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (v[1:] != v[:-1])
-        s, v = s[new], v[new]
+        s, v, g = s[new], v[new], g[new]
         if not len(s):
             continue
         same = s[1:] == s[:-1]
         back, ahead = np.concatenate([[tied], same]), np.concatenate([same, [False]])
         keep = back | ahead
         tied, keep[-1] = bool(back[-1]), False
-        yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(v[keep])], ["sig", "node"])
-        sig, node = s[-1:], v[-1:]
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (s, v, g)], ["sig", "node", "g"])
+        sig, node, group = s[-1:], v[-1:], g[-1:]
     if tied:
-        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], ["sig", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig, node, group)], ["sig", "node", "g"])
 
 
 def meeting(published: DataFrame, name: str) -> DataFrame:
-    """``sig, node`` of the signatures that several nodes publish."""
+    """``sig, node, g`` of the signatures that several nodes publish."""
     rows = published.repartition("sig").sortWithinPartitions("sig", "node")
-    return C.stored(rows.mapInArrow(_shared, "sig long, node long"), name)
+    return C.stored(rows.mapInArrow(_shared, "sig long, node long, g int"), name)
 
 
 def _bagged(width: int):
@@ -169,53 +194,79 @@ def _bagged(width: int):
         import pyarrow as pa
 
         for batch in batches:
-            node = batch.column("node").to_numpy(zero_copy_only=False)
             for i, j, data, offsets in C.chunks(batch.column("text")):
                 row, item = sets_of(data, offsets, width)
-                ends = np.searchsorted(row, np.arange(j - i + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(node[i:j]), pa.array([item[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])], pa.binary())], ["node", "items"])
+                node, n = nodes_of(row, item, j - i)
+                has = pa.array(n > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(node).filter(has), packed(row, item, j - i).filter(has)], ["node", "bag"])
 
     return run
 
 
 def _overlapped(batches):
+    """Overlaps of sets with the hub of their group, which comes first in it; only its set is held."""
     import pyarrow as pa
 
+    hub, own = None, None
     for batch in batches:
-        x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-        both = [len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(x, y)]
-        sizes = [pa.array([len(p) // 8 for p in s], pa.int64()) for s in (x, y)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *sizes, pa.array(both, pa.int64())], ["a", "b", "na", "nb", "both"])
+        a, b, sizes, both = [], [], [], []
+        _, item = unpacked(batch.column("bag").to_pylist())
+        at = 0
+        for node, h, leads, size in zip(*(batch.column(c).to_pylist() for c in ("node", "hub", "leads", "size"))):
+            mine = item[at : at + size]
+            at += size
+            if leads:
+                hub, own = h, mine
+            elif h == hub:
+                a.append(node)
+                b.append(h)
+                sizes.append((size, len(own)))
+                both.append(len(np.intersect1d(mine, own, assume_unique=True)))
+        n = np.array(sizes, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n[:, 0]), pa.array(n[:, 1]), pa.array(both, pa.int64())], ["a", "b", "na", "nb", "both"])
 
 
 class Join:
-    """The texts of one table, their nodes, and the comparisons made so far."""
+    """The sets of one table, their nodes, and the comparisons made so far."""
 
     def __init__(self, docs: DataFrame, pct: int, width: int):
         self.pct, self.width, self.bands = pct, width, Bands(pct)
         self.keyed = C.text_keys(docs)
         self.sets = C.stored(self.keyed.mapInArrow(_sets(width), "k1 long, k2 long, node long, n long"), "join-sets")
-        nodes = self.sets.filter("n > 0").groupBy("node").agg(F.min(F.struct(*KEY)).alias("rep"), F.max("n").alias("n"))
-        self.nodes = C.stored(nodes.select("node", "rep.*", "n"), "join-nodes")
-        self.done = self.links = None
-
-    def texts(self, ids: DataFrame) -> DataFrame:
-        """``node, text`` and what else ``ids`` has: one row for each of ``ids``."""
-        own = self.nodes.select("node", *KEY).join(ids, "node")
-        return self.keyed.dropDuplicates(KEY).join(own, KEY).drop(*KEY)
+        self.nodes = C.stored(self.sets.filter("n > 0").groupBy("node").agg(F.max("n").alias("n")), "join-nodes")
+        self.bags = self.done = self.links = None
+
+    def asked(self, a: str, b: str):
+        """Segments in which sets of sizes ``a`` and ``b`` in group ``g`` must agree to link: each other one differs in a shingle at least."""
+        parts = F.get(F.array(*(F.lit(int(x) + 1) for x in self.bands.most)), F.col("g"))
+        return parts - F.floor((100 - self.pct) * (F.expr(a) + F.expr(b)) / (100 + self.pct))
+
+    def hopeful(self, members: DataFrame) -> DataFrame:
+        """Members that share as many segments of a group as a link with a set of any fitting size asks for."""
+        edge = F.get(F.array(*(F.lit(int(x)) for x in self.bands.edges[1:])), F.col("g"))
+        shared = members.groupBy("node", "g").agg(F.count("*").alias("e")).join(self.nodes, "node")
+        other = F.when(F.col("n") < edge, F.floor(F.col("n") * 100 / self.pct)).otherwise(edge - 1)
+        shared = shared.withColumn("other", other).filter(F.col("e") >= self.asked("n", "other"))
+        return C.stored(members.join(shared.select("node", "g"), ["node", "g"]), "join-hopeful")
+
+    def hold(self, members: DataFrame) -> None:
+        """Keep the sets of the nodes that meet another one."""
+        bags = self.keyed.select("text").mapInArrow(_bagged(self.width), "node long, bag binary").dropDuplicates(["node"])
+        self.bags = C.stored(bags.join(members.select("node"), "node", "left_semi"), "join-bags")
 
     def compare(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Overlaps of the new ones of ``pairs`` (a, b); those that reach the bar become links."""
-        pairs = pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        """Overlaps of the new ones of ``pairs`` (a, b: those who share b meet one copy of its set); those that reach the bar become links."""
+        pairs = pairs.filter("a <> b").select("a", "b", F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).dropDuplicates(["x", "y"])
         if self.done is not None:
-            pairs = pairs.join(self.done, ["a", "b"], "left_anti")
-        pairs = C.stored(pairs, f"join-pairs-{name}")
-        self.done = pairs if self.done is None else self.done.unionByName(pairs)
-        ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        bags = C.stored(self.texts(ids).mapInArrow(_bagged(self.width), "node long, items binary"), "join-bags")
-        both = pairs.join(bags.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-        both = both.join(bags.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-        seen = C.stored(both.mapInArrow(_overlapped, "a long, b long, na long, nb long, both long"), f"join-overlaps-{name}")
+            pairs = pairs.join(self.done, ["x", "y"], "left_anti")
+        pairs = C.stored(pairs.select("x", "y", "a", "b"), f"join-pairs-{name}")
+        self.done = pairs.select("x", "y") if self.done is None else self.done.unionByName(pairs.select("x", "y"))
+        hubs = C.stored(pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / HUB).alias("parts")), "join-hubs")
+        sides = pairs.select(F.col("a").alias("node"), F.col("b").alias("hub")).join(hubs, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.lit(False).alias("leads"))
+        copies = hubs.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("leads"))
+        rows = self.bags.join(sides.unionByName(copies), "node").withColumn("size", (F.octet_length("bag") / 6).cast("int"))
+        rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("leads").desc())
+        seen = C.stored(rows.mapInArrow(_overlapped, "a long, b long, na long, nb long, both long"), f"join-overlaps-{name}")
         found = seen.filter(100 * F.col("both") >= self.pct * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
         self.links = found if self.links is None else self.links.unionByName(found)
         return seen
@@ -234,44 +285,58 @@ class Join:
     def fits(self, a: str, b: str) -> str:
         return f"100 * least({a}, {b}) >= {self.pct} * greatest({a}, {b})"
 
-    def cheap_pairs(self, rows: DataFrame) -> DataFrame:
-        """Pairs of different components that share a cheap signature: at most ``FEW`` times its members."""
+    def cheap_pairs(self, rows: DataFrame, whole: bool) -> DataFrame:
+        """Pairs of different components that share a cheap signature: at most ``FEW`` times its members. ``whole``: signatures of whole
+        segments, of which a link asks for a number; each dear one that both sets have may be one of them."""
+        dear = rows.filter("dear").groupBy("node", "g").agg(F.count("*").alias("z"))
         rows = rows.filter("not dear")
-        few = rows.filter("root <> main").select("sig", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-        every = rows.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), "main")
-        return few.join(every, "sig").filter(f"ra <> rb and (rb = main or a > b) and {self.fits('na', 'nb')}").select("a", "b")
-
-
-def leaders(members: DataFrame) -> DataFrame:
-    """``node, leader``: the most central node (most meetings over all its signatures) that each node meets."""
-    sizes = C.stored(members.groupBy("sig").agg(F.count("*").alias("n")), "join-spread")
-    central = members.join(sizes, "sig").groupBy("node").agg(F.sum("n").alias("near"))
-    rows = C.stored(members.join(central, "node"), "join-central")
-    best = rows.groupBy("sig").agg(F.max(F.struct("near", "node")).alias("leader"))
-    own = members.join(best, "sig").groupBy("node").agg(F.max("leader").alias("leader"))
-    return C.stored(own.select("node", F.col("leader.node").alias("leader")), "join-leaders")
-
-
-def _deleted(width: int, bands: Bands):
+        if whole:
+            rows = rows.join(dear, ["node", "g"], "left").withColumn("z", F.coalesce("z", F.lit(0)))
+        else:
+            rows = rows.withColumn("z", F.lit(0))
+        few = rows.filter("root <> main").select("sig", "g", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("z").alias("za"))
+        every = rows.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("z").alias("zb"), "main")
+        pairs = few.join(every, "sig").filter(f"ra <> rb and (rb = main or a > b) and {self.fits('na', 'nb')}")
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "g", (F.col("na") + F.col("nb")).alias("size"), F.least("za", "zb").alias("z"))
+        if not whole:
+            return pairs.select("a", "b")
+        pairs = pairs.groupBy("a", "b", "g", "size", "z").agg(F.count("*").alias("c"))
+        return pairs.filter(F.col("c") + F.col("z") >= self.asked("size", "0")).select("a", "b")
+
+
+def leaders(members: DataFrame, join: Join) -> DataFrame:
+    """``node, leader``: of the most central nodes (most meetings over all signatures) of a node's signatures the one that most of them
+    have, if it fits in size and in as many segments as a link asks for. Only a first guess: pairs that it leaves out are met later."""
+    sizes = C.stored(members.groupBy("sig").agg(F.count("*").alias("m")), "join-spread")
+    central = members.join(sizes, "sig").groupBy("node").agg(F.sum("m").alias("near"))
+    rows = C.stored(members.join(central, "node").join(join.nodes, "node"), "join-central")
+    best = rows.groupBy("sig").agg(F.max(F.struct("near", "node", "n")).alias("best")).select("sig", "best.near", F.col("best.node").alias("leader"), F.col("best.n").alias("nl"))
+    own = rows.drop("near").join(best, "sig").filter(join.fits("n", "nl")).groupBy("node", "leader", "g").agg(F.max("n").alias("n"), F.max("nl").alias("nl"), F.max("near").alias("near"), F.count("*").alias("c"))
+    own = own.filter(F.col("c") >= join.asked("n", "nl")).groupBy("node").agg(F.max(F.struct("c", "near", "leader")).alias("best"))
+    return C.stored(own.select("node", "best.leader"), "join-leaders")
+
+
+def _deleted(bands: Bands):
     """One-deletion neighbourhoods of the first segments of nodes with dear signatures (``dear``: their list)."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["node", "step", "part", "sig", "z", "hot"]
-        for batch in batches:
-            node, dear = batch.column("node").to_numpy(zero_copy_only=False), batch.column("dear").to_pylist()
-            for i, j, data, offsets in C.chunks(batch.column("text")):
-                row, item = sets_of(data, offsets, width)
-                n = np.bincount(row, minlength=j - i)
-                listed = np.array(sorted({s for d in dear[i:j] for s in d}), np.int64)
+        names = ["node", "g", "part", "sig", "z", "hot"]
+        for whole_batch in batches:
+            for first in range(0, len(whole_batch), 512):
+                batch = whole_batch.slice(first, 512)
+                node, dear = batch.column("node").to_numpy(zero_copy_only=False), batch.column("dear").to_pylist()
+                row, item = unpacked(batch.column("bag").to_pylist())
+                n = np.bincount(row, minlength=len(node))
+                listed = np.array(sorted({s for d in dear for s in d}), np.int64)
                 for step in (0, 1):
-                    group = np.where(n > 0, bands.of(np.maximum(n, 1)) - step, -1)
+                    group = bands.of(n) - step
                     at, value, seg, weight = segmented(row, item, group, bands)
-                    own = np.repeat(np.arange(j - i), np.diff(at))
+                    own = np.repeat(np.arange(len(node)), np.diff(at))
                     number = np.arange(len(value)) - at[own]
                     hot = np.isin(labelled(value, own, number, group, 0), listed)
-                    z = np.bincount(own[hot], minlength=j - i)
+                    z = np.bincount(own[hot], minlength=len(node))
                     use = (number < 2 * z[own] + 2) & (z[own] > 0)
                     whole = np.flatnonzero(use)
                     less = np.flatnonzero(use[seg]) if len(seg) else seg
@@ -279,23 +344,18 @@ def _deleted(width: int, bands: Bands):
                     left = np.concatenate([value[whole], value[seg[less]] - weight[less]])
                     sig = labelled(left, own[at_seg], number[at_seg], group, 1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(node[i:j][own[at_seg]]), pa.array(np.full(len(sig), step, np.int32)), pa.array(number[at_seg].astype(np.int64)), pa.array(sig), pa.array(z[own[at_seg]].astype(np.int64)), pa.array(hot[at_seg])], names
+                        [pa.array(node[own[at_seg]]), pa.array(group[own[at_seg]].astype(np.int32)), pa.array(number[at_seg].astype(np.int64)), pa.array(sig), pa.array(z[own[at_seg]].astype(np.int64)), pa.array(hot[at_seg])], names
                     )
 
     return run
 
 
-def _itemised(width: int):
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            node = batch.column("node").to_numpy(zero_copy_only=False)
-            for i, j, data, offsets in C.chunks(batch.column("text")):
-                row, item = sets_of(data, offsets, width)
-                yield pa.RecordBatch.from_arrays([pa.array(node[i:j][row]), pa.array(item.view(np.int64))], ["node", "item"])
+def _itemised(batches):
+    import pyarrow as pa
 
-    return run
+    for batch in batches:
+        row, item = unpacked(batch.column("bag").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(batch.column("node").to_numpy(zero_copy_only=False)[row]), pa.array(item.view(np.int64))], ["node", "item"])
 
 
 def possible(few, every, pct: int) -> np.ndarray:
@@ -334,34 +394,39 @@ def _dear_pairs(rows: DataFrame, pct: int) -> DataFrame:
 def joined(docs: DataFrame, pct: int = 80, width: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``sets`` (k1, k2, node, n per row), ``links`` (a, b: nodes found to link) and ``roots`` (node, root for nodes with links)."""
     join = Join(docs, pct, width)
-    members = meeting(join.keyed.mapInArrow(_published(width, join.bands), "sig long, node long"), "join-members")
-    lead = leaders(members)
+    members = meeting(join.keyed.mapInArrow(_published(width, join.bands), "sig long, node long, g int"), "join-members")
+    members = join.hopeful(members)
+    join.hold(members)
+    lead = leaders(members, join)
     seen = join.compare(lead.select(F.col("node").alias("a"), F.col("leader").alias("b")), "leader")
     roots = join.roots()
     rows = join.open(members, roots, "equal")
-    join.compare(join.cheap_pairs(rows), "cheap")
+    join.compare(join.cheap_pairs(rows, True), "cheap")
     dear = rows.filter("dear")
     if not dear.isEmpty():
         roots = join.roots()
         lists = dear.groupBy("node").agg(F.collect_list("sig").alias("dear"))
-        less = join.texts(C.stored(lists, "join-dear")).mapInArrow(_deleted(width, join.bands), "node long, step int, part long, sig long, z long, hot boolean")
+        less = join.bags.join(C.stored(lists, "join-dear"), "node").mapInArrow(_deleted(join.bands), "node long, g int, part long, sig long, z long, hot boolean")
         less = C.stored(less, "join-deletions")
-        near = join.open(meeting(less.select("sig", "node"), "join-near"), roots, "deleted")
-        join.compare(join.cheap_pairs(near), "deleted")
-        bad = less.join(near.filter("dear").select("sig").distinct(), "sig", "left_semi").select("node", "step", "part").distinct().withColumn("bad", F.lit(True))
-        parts = less.groupBy("node", "step", "part").agg(F.max("z").alias("z"), F.max("hot").alias("hot")).join(bad, ["node", "step", "part"], "left")
-        good = parts.groupBy("node", "step").agg(F.max("z").alias("z"), F.count(F.when(~F.col("hot") & F.col("bad").isNull(), 1)).alias("good"))
+        near = join.open(meeting(less.select("sig", "node", "g"), "join-near"), roots, "deleted")
+        join.compare(join.cheap_pairs(near, False), "deleted")
+        bad = less.join(near.filter("dear").select("sig").distinct(), "sig", "left_semi").select("node", "g", "part").distinct().withColumn("bad", F.lit(True))
+        parts = less.groupBy("node", "g", "part").agg(F.max("z").alias("z"), F.max("hot").alias("hot")).join(bad, ["node", "g", "part"], "left")
+        good = parts.groupBy("node", "g").agg(F.max("z").alias("z"), F.count(F.when(~F.col("hot") & F.col("bad").isNull(), 1)).alias("good"))
         unsure = C.stored(good.filter("good < z").select("node").distinct().withColumn("open", F.lit(True)), "join-unsure")
         if not unsure.isEmpty():
             roots = join.roots()
-            rest = join.open(dear.select("sig", "node"), roots, "rest").join(unsure, "node", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+            rest = join.open(dear.select("sig", "node", "g"), roots, "rest").join(unsure, "node", "left").withColumn("open", F.coalesce("open", F.lit(False)))
             rest = C.stored(rest.join(rest.filter("open").select("sig").distinct(), "sig", "left_semi"), "join-rest")
             far = seen.select("a", "b", (F.col("na") + F.col("nb") - 2 * F.col("both")).alias("far"))
-            far = lead.select("node", "leader", F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).join(far, ["a", "b"], "left")
-            far = far.select("node", "leader", F.coalesce("far", F.lit(0)).alias("far"))
-            far = C.stored(rest.select("node").distinct().join(far, "node"), "join-far")
+            far = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))  # a pair of mutual leaders was compared once
+            far = lead.select("node", "leader", F.col("node").alias("a"), F.col("leader").alias("b")).join(far, ["a", "b"], "left")
+            # Without a leader of fitting size: a leader of its own, which bounds nothing.
+            far = rest.select("node").distinct().join(far, "node", "left")
+            far = far.select("node", F.coalesce("leader", "node").alias("leader"), F.coalesce("far", F.lit(0)).alias("far"))
+            far = C.stored(far, "join-far")
             ids = far.select("node").union(far.select("leader")).distinct()
-            items = C.stored(join.texts(ids).mapInArrow(_itemised(width), "node long, item long"), "join-items")
+            items = C.stored(join.bags.join(ids, "node").mapInArrow(_itemised, "node long, item long"), "join-items")
             alone = items.groupBy("item").agg(F.min("node").alias("node"), F.count("*").alias("c")).filter("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
             rest = rest.join(far, "node").join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
             join.compare(_dear_pairs(C.stored(rest, "join-cells"), pct), "dear")

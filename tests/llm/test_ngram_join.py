@@ -111,6 +111,6 @@ def test_shared_rows_over_batches():
     rows = sorted(zip(sig.tolist(), node.tolist()))
     want = {x for x in rows if len({b for a, b in rows if a == x[0]}) > 1}
     for step in (1, 2, 7, 300):
-        parts = [pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows[i : i + step]]), pa.array([b for _, b in rows[i : i + step]])], ["sig", "node"]) for i in range(0, 300, step)]
+        parts = [pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows[i : i + step]]), pa.array([b for _, b in rows[i : i + step]]), pa.array([0 for _ in rows[i : i + step]], pa.int32())], ["sig", "node", "g"]) for i in range(0, 300, step)]
         got = [x for b in ngram_join._shared(iter(parts)) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         assert len(got) == len(want) and set(got) == want
