@@ -11,7 +11,7 @@ first R = 2 z + 2 segments as they are and without each of their shingles. Of th
 differ, at most z - 1 differ in more than one shingle, so the pair meets there if one of the two, the one with
 the smaller R, has z segments among them whose signatures are all cheap. Sets for which even that fails are
 compared in cells of bounded size within their dear segments, where exact bounds (sizes, shingles that no
-other set there has, distance from a common leader) leave few pairs to verify.
+other set there has, distance from a common pivot) leave few pairs to verify.
 
 As every segment in which two sets differ holds a difference, a link of sizes a, b asks for more than one agreeing segment wherever
 its own bound is less than the group's H: sets and pairs that agree in fewer are left out before any set is read.
@@ -115,9 +115,9 @@ def segmented(row: np.ndarray, item: np.ndarray, group: np.ndarray, bands: Bands
 
 
 def labelled(value: np.ndarray, row: np.ndarray, number: np.ndarray, group: np.ndarray, kind: int) -> np.ndarray:
-    """Signatures: a hash of the kind, group, number of the segment and its value."""
+    """Signatures: a hash of the kind, group, number of the segment and its value, with the group in the low seven bits."""
     place = C.mix((group[row].astype(np.uint64) << np.uint64(40)) + (number.astype(np.uint64) << np.uint64(2)) + np.uint64(kind))
-    return C.mix(value + place * GOLD).view(np.int64)
+    return ((C.mix(value + place * GOLD) & ~np.uint64(127)) | group[row].astype(np.uint64)).view(np.int64)
 
 
 def equal_signatures(row, item, n, bands):
@@ -152,9 +152,8 @@ def _published(width: int, bands: Bands):
             for i, j, data, offsets in C.chunks(batch.column("text")):
                 row, item = sets_of(data, offsets, width)
                 node, n = nodes_of(row, item, j - i)
-                own, _, sig, step = equal_signatures(row, item, n, bands)
-                group = bands.of(np.maximum(n, 1))[own] - step
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node[own]), pa.array(group.astype(np.int32))], ["sig", "node", "g"])
+                own, _, sig, _ = equal_signatures(row, item, n, bands)
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node[own])], ["sig", "node"])
 
     return run
 
@@ -163,30 +162,30 @@ def _shared(batches):
     """Of rows sorted by (sig, node): each once, if its sig has another node. One row is held back between batches."""
     import pyarrow as pa
 
-    sig, node, group, tied = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), False
+    sig, node, tied = np.zeros(0, np.int64), np.zeros(0, np.int64), False
     for batch in batches:
         s = np.concatenate([sig, batch.column("sig").to_numpy()])
         v = np.concatenate([node, batch.column("node").to_numpy()])
-        g = np.concatenate([group, batch.column("g").to_numpy()])
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (v[1:] != v[:-1])
-        s, v, g = s[new], v[new], g[new]
+        s, v = s[new], v[new]
         if not len(s):
             continue
         same = s[1:] == s[:-1]
         back, ahead = np.concatenate([[tied], same]), np.concatenate([same, [False]])
         keep = back | ahead
         tied, keep[-1] = bool(back[-1]), False
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (s, v, g)], ["sig", "node", "g"])
-        sig, node, group = s[-1:], v[-1:], g[-1:]
+        yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(v[keep])], ["sig", "node"])
+        sig, node = s[-1:], v[-1:]
     if tied:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig, node, group)], ["sig", "node", "g"])
+        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], ["sig", "node"])
 
 
 def meeting(published: DataFrame, name: str) -> DataFrame:
     """``sig, node, g`` of the signatures that several nodes publish."""
     rows = published.repartition("sig").sortWithinPartitions("sig", "node")
-    return C.stored(rows.mapInArrow(_shared, "sig long, node long, g int"), name)
+    rows = rows.mapInArrow(_shared, "sig long, node long")
+    return C.stored(rows.withColumn("g", F.col("sig").bitwiseAND(F.lit(127)).cast("int")), name)
 
 
 def _bagged(width: int):
@@ -234,7 +233,7 @@ class Join:
         self.keyed = C.text_keys(docs)
         self.sets = C.stored(self.keyed.mapInArrow(_sets(width), "k1 long, k2 long, node long, n long"), "join-sets")
         self.nodes = C.stored(self.sets.filter("n > 0").groupBy("node").agg(F.max("n").alias("n")), "join-nodes")
-        self.bags = self.done = self.links = None
+        self.bags = self.done = self.links = self.seen = None
 
     def asked(self, a: str, b: str):
         """Segments in which sets of sizes ``a`` and ``b`` in group ``g`` must agree to link: each other one differs in a shingle at least."""
@@ -254,7 +253,7 @@ class Join:
         bags = self.keyed.select("text").mapInArrow(_bagged(self.width), "node long, bag binary").dropDuplicates(["node"])
         self.bags = C.stored(bags.join(members.select("node"), "node", "left_semi"), "join-bags")
 
-    def compare(self, pairs: DataFrame, name: str) -> DataFrame:
+    def compare(self, pairs: DataFrame, name: str) -> None:
         """Overlaps of the new ones of ``pairs`` (a, b: those who share b meet one copy of its set); those that reach the bar become links."""
         pairs = pairs.filter("a <> b").select("a", "b", F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).dropDuplicates(["x", "y"])
         if self.done is not None:
@@ -269,7 +268,7 @@ class Join:
         seen = C.stored(rows.mapInArrow(_overlapped, "a long, b long, na long, nb long, both long"), f"join-overlaps-{name}")
         found = seen.filter(100 * F.col("both") >= self.pct * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
         self.links = found if self.links is None else self.links.unionByName(found)
-        return seen
+        self.seen = seen if self.seen is None else self.seen.unionByName(seen)
 
     def roots(self) -> DataFrame:
         return C.stored(components(self.links, "join-components"), "join-roots")
@@ -394,11 +393,11 @@ def _dear_pairs(rows: DataFrame, pct: int) -> DataFrame:
 def joined(docs: DataFrame, pct: int = 80, width: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``sets`` (k1, k2, node, n per row), ``links`` (a, b: nodes found to link) and ``roots`` (node, root for nodes with links)."""
     join = Join(docs, pct, width)
-    members = meeting(join.keyed.mapInArrow(_published(width, join.bands), "sig long, node long, g int"), "join-members")
+    members = meeting(join.keyed.mapInArrow(_published(width, join.bands), "sig long, node long"), "join-members")
     members = join.hopeful(members)
     join.hold(members)
     lead = leaders(members, join)
-    seen = join.compare(lead.select(F.col("node").alias("a"), F.col("leader").alias("b")), "leader")
+    join.compare(lead.select(F.col("node").alias("a"), F.col("leader").alias("b")), "leader")
     roots = join.roots()
     rows = join.open(members, roots, "equal")
     join.compare(join.cheap_pairs(rows, True), "cheap")
@@ -408,7 +407,7 @@ def joined(docs: DataFrame, pct: int = 80, width: int = 5) -> tuple[DataFrame, D
         lists = dear.groupBy("node").agg(F.collect_list("sig").alias("dear"))
         less = join.bags.join(C.stored(lists, "join-dear"), "node").mapInArrow(_deleted(join.bands), "node long, g int, part long, sig long, z long, hot boolean")
         less = C.stored(less, "join-deletions")
-        near = join.open(meeting(less.select("sig", "node", "g"), "join-near"), roots, "deleted")
+        near = join.open(meeting(less.select("sig", "node"), "join-near"), roots, "deleted")
         join.compare(join.cheap_pairs(near, False), "deleted")
         bad = less.join(near.filter("dear").select("sig").distinct(), "sig", "left_semi").select("node", "g", "part").distinct().withColumn("bad", F.lit(True))
         parts = less.groupBy("node", "g", "part").agg(F.max("z").alias("z"), F.max("hot").alias("hot")).join(bad, ["node", "g", "part"], "left")
@@ -418,13 +417,15 @@ def joined(docs: DataFrame, pct: int = 80, width: int = 5) -> tuple[DataFrame, D
             roots = join.roots()
             rest = join.open(dear.select("sig", "node", "g"), roots, "rest").join(unsure, "node", "left").withColumn("open", F.coalesce("open", F.lit(False)))
             rest = C.stored(rest.join(rest.filter("open").select("sig").distinct(), "sig", "left_semi"), "join-rest")
-            far = seen.select("a", "b", (F.col("na") + F.col("nb") - 2 * F.col("both")).alias("far"))
-            far = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))  # a pair of mutual leaders was compared once
-            far = lead.select("node", "leader", F.col("node").alias("a"), F.col("leader").alias("b")).join(far, ["a", "b"], "left")
-            # Without a leader of fitting size: a leader of its own, which bounds nothing.
-            far = rest.select("node").distinct().join(far, "node", "left")
-            far = far.select("node", F.coalesce("leader", "node").alias("leader"), F.coalesce("far", F.lit(0)).alias("far"))
-            far = C.stored(far, "join-far")
+            # Distances from a pivot: the node with most signatures here, of those that a node meets.
+            degree = rest.groupBy("node").agg(F.count("*").alias("d"))
+            pivots = rest.join(degree, "node").groupBy("sig").agg(F.max(F.struct("d", "node")).alias("p"))
+            pivots = rest.join(pivots, "sig").groupBy("node").agg(F.max("p").alias("p")).select("node", F.col("p.node").alias("leader"))
+            pivots = C.stored(pivots, "join-pivots")
+            join.compare(pivots.select(F.col("node").alias("a"), F.col("leader").alias("b")), "pivot")
+            far = join.seen.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), (F.col("na") + F.col("nb") - 2 * F.col("both")).alias("far"))
+            far = pivots.select("node", "leader", F.greatest("node", "leader").alias("x"), F.least("node", "leader").alias("y")).join(far, ["x", "y"], "left")
+            far = C.stored(far.select("node", "leader", F.coalesce("far", F.lit(0)).alias("far")), "join-far")
             ids = far.select("node").union(far.select("leader")).distinct()
             items = C.stored(join.bags.join(ids, "node").mapInArrow(_itemised, "node long, item long"), "join-items")
             alone = items.groupBy("item").agg(F.min("node").alias("node"), F.count("*").alias("c")).filter("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
