@@ -7,7 +7,9 @@ Nystroem map; one-versus-rest kernel ridge regression on it is a small matrix, a
 are scored by matrix products.
 
 Training rows: at most about ``sample`` per language, chosen by hash. Null text or no letter: ``und``
-with score 0. Without training rows all is ``und``. Null doc_id: never a training row, held_out null.
+with score 0. Without training rows all is ``und``. Null doc_id: never a training row, held_out null. NUL characters are gaps.
+Rows that repeat are predicted alike (and count repeatedly in training). Very long texts are read whole, 128 texts at a time.
+An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +27,18 @@ def presence(texts: list[str]) -> np.ndarray:
     """One row of 0/1 per text over all widths."""
     total = sum(WIDTHS)
     out = np.zeros((len(texts), total), np.uint8)
-    joined = "\x00\x00\x00".join(texts).lower()
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    lowered = [t.lower() for t in texts]
+    code = np.frombuffer("\x00\x00\x00".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(code):
         return out
-    ends = np.cumsum(code == 0)
-    row = ends // 3
+    # Rows come from lengths: a text may itself hold NUL, which is a gap like any other than a letter.
+    lengths = np.array([len(t) for t in lowered])
+    row = np.repeat(np.arange(len(texts)), lengths + 3)[: len(code)]
+    within = np.arange(len(code)) - np.repeat(np.cumsum(lengths + 3) - lengths - 3, lengths + 3)[: len(code)]
     used, back = np.unique(code, return_inverse=True)
     letter = np.array([chr(c).isalpha() for c in used.tolist()])
-    code = np.where(letter, used, np.where(used == 0, 0, 32)).astype(np.uint64)[back]
+    code = np.where(letter, used, 32).astype(np.uint64)[back]
+    code[within >= lengths[row]] = 0  # between texts
     base = 0
     for n, width in enumerate(WIDTHS, 1):
         h = np.zeros(len(code) - n + 1, np.uint64)
@@ -43,9 +48,7 @@ def presence(texts: list[str]) -> np.ndarray:
         ok = code[: len(h)] != 0
         for k in range(1, n):
             ok &= code[k : len(h) + k] != 0
-        r = row[: len(h)][ok]
-        good = r < len(texts)
-        out[r[good], base + h[ok][good].astype(np.int64)] = 1
+        out[row[: len(h)][ok], base + h[ok].astype(np.int64)] = 1
         base += width
     return out
 

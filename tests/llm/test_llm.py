@@ -316,3 +316,17 @@ def test_suffix_dedup_sorts_no_shards(spark, texts, monkeypatch):
 
     monkeypatch.setattr(suffix_dedup, "suffix_order", sort)
     assert suffix_dedup.dedup_suffixes(frame(spark, texts)).count() == len(texts)
+
+
+def test_language_of_texts_with_nul(spark):
+    r, base = random.Random(8), prose(30, 5)
+    texts = ["a\x00b\x00\x00\x00c", "\x00\x00\x00\x00", base, "", "é" * 400, "x\x00" * 50]
+    whole = language.presence(texts)
+    for i, t in enumerate(texts):
+        assert (whole[i] == language.presence([t])[0]).all()
+    assert (language.presence(["ab\x00cd"]) == language.presence(["ab cd"])).all() and not language.presence([""]).any()
+    tongues = {"en": "the and of to in that with thing", "zz": "你好 世界 中文 文字"}
+    rows = [(i, ("\x00" * (i % 5)).join(r.choice(t.split()) for _ in range(20)), k) for i in range(200) for k, t in [list(tongues.items())[i % 2]]]
+    df = spark.createDataFrame([*rows, *rows[:3]], "doc_id long, text string, lang string").selectExpr("*", "1 AS score", "2 AS x", "3 AS lang_pred")
+    got = language.predict(df, language.learn(df)).collect()
+    assert len(got) == 203 and all(x.lang_pred == list(tongues)[x.doc_id % 2] for x in got)
