@@ -219,8 +219,8 @@ def _panelled_gram(rows: DataFrame, p: int, panel: int) -> DataFrame:
     )
 
 
-def phi_pairs(rows: DataFrame) -> DataFrame:
-    """Pearson phi of all feature pairs ``fi < fj``."""
+def phi_pairs(rows: DataFrame, max_pairs: int | None = None) -> DataFrame:
+    """Pearson phi of all feature pairs ``fi < fj``; with ``max_pairs``, of the first ones by (fi, fj) for a report."""
     gram = feature_gram(rows)
     n = rows.agg(F.count("*").alias("n")).scalar()
     ones = gram.where("fi = fj")
@@ -232,12 +232,13 @@ def phi_pairs(rows: DataFrame) -> DataFrame:
     )
     a, b, q = F.col("a").cast("double"), F.col("b").cast("double"), F.col("both").cast("double")
     den = F.sqrt(a * (F.col("n") - a)) * F.sqrt(b * (F.col("n") - b))
-    return t.select(
+    t = t.select(
         F.col("fi").cast("bigint").alias("fi"),
         F.col("fj").cast("bigint").alias("fj"),
         F.col("both").alias("n11"),
         F.when(den > 0, (F.col("n") * q - a * b) / den).otherwise(0.0).alias("phi"),
     )
+    return t if max_pairs is None else t.orderBy("fi", "fj").limit(max_pairs)
 
 
 # ----------------------------------------------------------------- silhouette
