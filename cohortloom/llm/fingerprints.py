@@ -8,7 +8,8 @@ probability of their generalised Jaccard similarity, so the share of equal sampl
 
 The edited text of a document: its last half (floor) replaced by the beginning of the next document
 in descending (doc_id, text hash) order, after the last the first. Null text: empty. Rows equal in
-doc_id and text have one place in that order. A text without terms has the empty fingerprint, alike
+doc_id and text have one place in that order and count once; each gives a row. Very long texts are split within one row. An empty table gives
+no rows; other columns are ignored. A text without terms has the empty fingerprint, alike
 only to another such text.
 """
 
@@ -74,26 +75,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     keyed = C.text_keys(docs)
     after = C.stored(next_documents(keyed.select("k1", "k2")), "next")
     half = F.floor(F.char_length("text") / 2).cast("int")
-    sizes = keyed.select("k1", "k2", half.alias("half")).distinct().join(after, ["k1", "k2"])
-    need = sizes.select(F.col("n1").alias("k1"), F.col("n2").alias("k2"), F.col("k1").alias("o1"), F.col("k2").alias("o2"), "half")
-    heads = keyed.join(need, ["k1", "k2"]).select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), F.expr("substring(text, 1, half)").alias("head"))
-    heads = C.stored(heads, "next-heads-of-texts")
-    # Rows with one key hold one text; all work after this is within the partitions of this join.
+    # Rows with one key hold one text; ``copies`` tells how many there are.
+    sizes = C.stored(keyed.select("k1", "k2", half.alias("half")).groupBy("k1", "k2").agg(F.max("half").alias("half"), F.count("*").alias("copies")), "next-sizes")
+    need = sizes.join(after, ["k1", "k2"]).select(F.col("n1").alias("k1"), F.col("n2").alias("k2"), F.col("k1").alias("o1"), F.col("k2").alias("o2"), "half", F.col("copies").alias("own_copies"))
+    need = need.join(sizes.select("k1", "k2", F.col("copies").alias("next_copies")), ["k1", "k2"])
+    need = need.select("k1", "k2", "o1", "o2", "half", (F.col("own_copies") * F.col("next_copies")).alias("times"))
+    # The texts cross one exchange: as next documents they give their heads, which cross another to the documents they end.
+    heads = keyed.join(need, ["k1", "k2"]).select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), F.expr("substring(text, 1, half)").alias("head"), "times")
     both = keyed.join(heads, ["k1", "k2"])
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 2) as int))"), F.col("head"))
-    both = both.select("k1", "k2", "text", edited.alias("edited"))
+    both = both.select("k1", "k2", "text", edited.alias("edited"), "times")
     which = F.explode(F.array(F.struct(F.lit(0).alias("e"), terms(F.col("text")).alias("t")), F.struct(F.lit(1).alias("e"), terms(F.col("edited")).alias("t"))))
-    counts = both.select("k1", "k2", which.alias("w")).select("k1", "k2", F.col("w.e").alias("e"), F.explode("w.t").alias("term"))
-    counts = counts.groupBy("k1", "k2", "e", "term").agg(F.count("*").alias("n"))
+    counts = both.select("k1", "k2", "times", which.alias("w")).select("k1", "k2", "times", F.col("w.e").alias("e"), F.explode("w.t").alias("term"))
+    counts = counts.groupBy("k1", "k2", "e", "term").agg((F.count("*") / F.max("times")).alias("n"))
     drawn = counts.groupBy("k1", "k2", "e").agg(*(F.min(sample(F.col("term"), F.log("n"), k)).alias(f"s{k}") for k in range(SAMPLES)))
     drawn = drawn.select("k1", "k2", "e", F.array(*(f"s{k}" for k in range(SAMPLES))).alias("s"))
     prints = drawn.groupBy("k1", "k2").agg(F.max(F.when(F.col("e") == 0, F.col("s"))).alias("a"), F.max(F.when(F.col("e") == 1, F.col("s"))).alias("b"))
-    meta = both.select("k1", "k2", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    meta = both.groupBy("k1", "k2").agg(F.max(F.char_length("text")).cast("long").alias("n_chars"), F.max(F.sha2("edited", 256)).alias("edited_sha256"))
     none = F.array().cast("array<bigint>")
     full = meta.join(prints, ["k1", "k2"], "left").select("k1", "k2", "n_chars", "edited_sha256", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
     full = C.stored(full, "fingerprints")
-    nexts = full.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("a").alias("c")).dropDuplicates(["n1", "n2"])
-    full = full.join(after, ["k1", "k2"]).join(nexts, ["n1", "n2"])
+    nexts = full.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("a").alias("c"))
+    full = full.join(after, ["k1", "k2"]).join(nexts, ["n1", "n2"]).join(sizes.select("k1", "k2", "copies"), ["k1", "k2"])
+    full = full.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return full.select(
         C.doc_id_of(F.col("k1")).alias("doc_id"), "n_chars", "edited_sha256", printed(F.col("a")).alias("fingerprint"), printed(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"),
