@@ -3,11 +3,11 @@
 Words are runs of letters and digits, lower case; shingles are word pairs. Texts are read in windows of 12
 shingles every 4, templates in pieces of at most 9, so every piece lies whole in a window. A window's MinHash signature has ``BANDS`` values (bands of one row): a template of only four shingles
 meets its window with odds of 1 - (2/3)^16 = 0.998, one of nine with 1 - (1/4)^16. Templates found
-that way are verified by exact shingle containment around the window. Where templates share what they found
+that way, if the window holds half of the piece, are verified by exact shingle containment around the window. Where templates share what they found
 (versions and variants of a license), the best contained one stays, of those the longest.
 
 Null or short texts hold no license. Rows with one doc_id and text give one result. Null doc_id is
-kept as null.
+kept as null. Very long texts are read whole. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,24 +93,31 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     own = spark.createDataFrame(TEMPLATES if templates is None else templates, "license string, notice string")
     own = own.select("license", "notice", words_of(F.col("notice")).alias("words")).select("license", "notice", shingles_of(F.col("words")).alias("whole"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("whole") - PIECE, F.lit(0)), F.lit(STRIDE))
-    pieces = own.filter(F.size("whole") > 0).select("license", "notice", "whole", F.explode(F.array_distinct(F.concat(starts, F.array(F.greatest(F.size("whole") - PIECE, F.lit(0)))))).alias("piece_at"))
-    pieces = pieces.select("license", "notice", "piece_at", F.array(*signature(F.slice("whole", F.col("piece_at") + 1, PIECE))).alias("v"))
+    numbered = [F.xxhash64("license", "notice").alias("notice_id")]
+    own = own.select(*numbered, "license", "whole")
+    pieces = own.filter(F.size("whole") > 0).select("notice_id", "whole", F.explode(F.array_distinct(F.concat(starts, F.array(F.greatest(F.size("whole") - PIECE, F.lit(0)))))).alias("piece_at"))
+    pieces = pieces.select("notice_id", "piece_at", F.slice("whole", F.col("piece_at") + 1, PIECE).alias("piece"))
+    pieces = pieces.select("notice_id", "piece_at", "piece", F.array(*signature(F.col("piece"))).alias("v"))
     # As many rows as bands and template pieces: bounded by the list of templates, not by the data.
-    pieces = C.stored(pieces.select("license", "notice", "piece_at", F.explode("v").alias("v")), "license-bands")
+    pieces = C.stored(pieces.select("notice_id", "piece_at", "piece", F.posexplode("v").alias("band", "v")), "license-bands")
     keyed = C.text_keys(docs)
     texts = keyed.select("k1", "k2", words_of(F.col("text")).alias("words")).select("k1", "k2", shingles_of(F.col("words")).alias("own"))
     at = F.when(F.size("own") > 0, F.sequence(F.lit(0), F.greatest(F.size("own") - 1, F.lit(0)), F.lit(STRIDE))).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(at, lambda i: F.slice("own", i + 1, WIDTH))
-    values = F.flatten(F.transform(windows, lambda w: F.array(*signature(w))))
-    # The number of a value is its window and band; only windows that meet a template leave the join.
-    found = texts.select("k1", "k2", F.posexplode(values).alias("i", "v")).join(F.broadcast(pieces), "v")
-    found = found.select("k1", "k2", "license", "notice", "piece_at", F.floor(F.col("i") / BANDS).cast("int").alias("window")).distinct()
+    # Values that no template has are dropped while they are still an array; windows left without any give no row.
+    known = [r.v for r in pieces.select("v").distinct().collect()]
+    windows = F.transform(at, lambda i: F.struct((i / STRIDE).cast("int").alias("window"), F.slice("own", i + 1, WIDTH).alias("w")))
+    valued = F.transform(windows, lambda x: F.struct(x.window.alias("window"), x.w.alias("w"), F.filter(F.array(*signature(x.w)), lambda v: v.isin(known)).alias("v")))
+    found = texts.select("k1", "k2", F.explode(F.filter(valued, lambda x: F.size(x.v) > 0)).alias("x"))
+    found = found.select("k1", "k2", "x.window", "x.w", F.explode("x.v").alias("v")).join(F.broadcast(pieces.drop("band")), "v")
+    # A piece counts where its window holds half of it: checked in the same row, before any exchange.
+    found = found.filter(F.size(F.array_intersect("piece", "w")) >= F.size(F.array_distinct("piece")) * 0.5)
+    found = found.select("k1", "k2", "notice_id", "piece_at", "window").distinct()
     found = C.stored(found, "license-candidates")
     # Around the window: as much as the template holds on both sides of the piece.
     begin = F.greatest(F.col("window") * STRIDE - F.col("piece_at") - WIDTH, F.lit(0))
     texts = keyed.dropDuplicates(["k1", "k2"]).join(found.select("k1", "k2").distinct(), ["k1", "k2"])
     texts = texts.select("k1", "k2", words_of(F.col("text")).alias("words")).select("k1", "k2", shingles_of(F.col("words")).alias("own"))
-    found = found.join(texts, ["k1", "k2"]).join(F.broadcast(own), ["license", "notice"])
+    found = found.join(texts, ["k1", "k2"]).join(F.broadcast(own), "notice_id")
     around = F.slice("own", begin + 1, F.size("whole") + 3 * WIDTH)
     matched = F.array_intersect("whole", around)
     found = found.select(

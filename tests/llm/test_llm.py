@@ -330,3 +330,18 @@ def test_language_of_texts_with_nul(spark):
     df = spark.createDataFrame([*rows, *rows[:3]], "doc_id long, text string, lang string").selectExpr("*", "1 AS score", "2 AS x", "3 AS lang_pred")
     got = language.predict(df, language.learn(df)).collect()
     assert len(got) == 203 and all(x.lang_pred == list(tongues)[x.doc_id % 2] for x in got)
+
+
+def test_fingerprints_of_repeated_rows(spark):
+    rows = [(1, prose(40, 1)), (2, prose(30, 2)), (2, prose(30, 2)), (2, prose(30, 2)), (3, prose(30, 3)), (3, prose(30, 3)), (None, prose(40, 1)), (4, None)]
+    got = fingerprints.fingerprints(frame(spark, rows)).collect()
+    once = {r.doc_id: r for r in fingerprints.fingerprints(frame(spark, list(dict.fromkeys(rows)))).collect()}
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in rows)
+    assert all(r == once[r.doc_id] for r in got) and once[1].fingerprint == once[None].fingerprint
+
+
+def test_licenses_in_long_texts_and_damaged_notices(spark):
+    notice = dict((n, t) for n, t in licenses.TEMPLATES)["ISC"].split()
+    rows = [(1, prose(5000, 1) + " of the in the " + " ".join(notice) + " " + prose(5000, 2)), (2, " ".join(notice[:9] + ["other"] + notice[10:])), (3, "of the and the in the of the " * 300)]
+    got = {(r.doc_id, r.license) for r in licenses.scan_licenses(frame(spark, rows, True)).collect()}
+    assert got == {(1, "ISC"), (2, "ISC")}
