@@ -129,11 +129,22 @@ METHOD_ALIASES = {
     "b": "bonferroni", "bonf": "bonferroni", "s": "sidak", "h": "holm", "hs": "holm-sidak", "sh": "simes-hochberg",
     "fdr_i": "fdr_bh", "fdr_p": "fdr_bh", "fdri": "fdr_bh", "fdrp": "fdr_bh",
     "fdr_n": "fdr_by", "fdr_c": "fdr_by", "fdrn": "fdr_by", "fdrcorr": "fdr_by",
+    "fdr_2sbh": "fdr_tsbh", "fdr_2sbky": "fdr_tsbky", "fdr_twostage": "fdr_tsbky",
 }
 
 
-def adjust_p(tests: DataFrame, p_col: str = "P", method: str = "fdr_bh") -> DataFrame:
-    """Add ``P_adj`` over all non-null P of the table."""
+def _two_stage(d: DataFrame, alpha: float, widen: float) -> DataFrame:
+    """Step-up P shrunk by the share of tests that a first pass at level ``alpha / widen`` leaves, times ``widen``."""
+    first = _running(d, F.col("p") * F.col("m") / F.col("upto"), True)
+    hits = F.sum(F.when(F.col("P_adj") <= alpha / widen, F.col("upto") - F.col("before")).otherwise(0))
+    seen = first.join(d, "p").agg(hits.alias("r"), F.max("m").alias("m"))
+    left = F.when((F.col("r") > 0) & (F.col("r") < F.col("m")), 1 - F.col("r") / F.col("m")).otherwise(1.0)
+    share = seen.select((widen * F.coalesce(left, F.lit(1.0))).alias("share")).scalar()
+    return first.select("p", F.least(F.lit(1.0), F.col("P_adj") * share).alias("P_adj"))
+
+
+def adjust_p(tests: DataFrame, p_col: str = "P", method: str = "fdr_bh", alpha: float = 0.05) -> DataFrame:
+    """Add ``P_adj`` over all non-null P of the table; only the two-stage methods depend on ``alpha``."""
     method = METHOD_ALIASES.get(method.lower(), method.lower())
     p, m = F.col("p"), F.col("m").cast("double")
     single = {
@@ -156,6 +167,14 @@ def adjust_p(tests: DataFrame, p_col: str = "P", method: str = "fdr_bh") -> Data
         adj = _running(d, (m - F.col("before")) * p, False)
     elif method == "holm-sidak":
         adj = _running(d, _any_of(p, m - F.col("before")), False)
+    elif method == "fdr_gbs":
+        # Odds of P, weighted by the tests above it against those up to it; equal P take the place of the first of them.
+        odds = F.when(p < 1, p / (1 - p)).otherwise(F.lit(float("inf")))
+        adj = _running(d, (m - F.col("before")) / (F.col("before") + 1) * odds, False)
+    elif method == "fdr_tsbh":
+        adj = _two_stage(d, alpha, 1.0)
+    elif method == "fdr_tsbky":
+        adj = _two_stage(d, alpha, 1.0 + alpha)
     else:
         raise ValueError(f"unsupported correction method: {method}")
     adj = adj.withColumnRenamed("p", "__p")

@@ -297,7 +297,12 @@ def _adjust_sql(method: str) -> str:
         "bonferroni": "p * m",
         "sidak": "1 - pow(1 - p, m)",
         "holm-sidak": "max(1 - pow(1 - p, m - k + 1)) OVER (ORDER BY k)",
+        "fdr_gbs": "max((m + 1 - k) / k * p / (1 - p)) OVER (ORDER BY k)",
+        "fdr_tsbh": "b * (SELECT CASE WHEN count(*) BETWEEN 1 AND max(o.m) - 1 THEN 1 - count(*) / max(o.m) ELSE 1 END FROM q o WHERE o.b <= 0.05)",
+        "fdr_tsbky": "1.05 * b * (SELECT CASE WHEN count(*) BETWEEN 1 AND max(o.m) - 1 THEN 1 - count(*) / max(o.m) ELSE 1 END FROM q o WHERE o.b <= 0.05 / 1.05)",
     }[method]
+    if method.startswith("fdr_ts"):
+        return f"{base}, q AS (SELECT *, min(p * m / k) OVER (ORDER BY k DESC) AS b FROM r) SELECT id::BIGINT AS id, round(least(1.0, {expr}), 6) AS p_adj FROM q"
     return f"{base} SELECT id::BIGINT AS id, round(least(1.0, {expr}), 6) AS p_adj FROM r"
 
 
@@ -310,7 +315,7 @@ def _adjusted(method):
     return run
 
 
-for _m in ("fdr_bh", "fdr_by", "holm", "simes-hochberg", "bonferroni", "sidak", "holm-sidak"):
+for _m in ("fdr_bh", "fdr_by", "holm", "simes-hochberg", "bonferroni", "sidak", "holm-sidak", "fdr_gbs", "fdr_tsbh", "fdr_tsbky"):
     query("adjust_" + _m.replace("-", "_"), _adjust_sql(_m))(_adjusted(_m))
 
 

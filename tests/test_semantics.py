@@ -233,3 +233,24 @@ def test_overlap_of_many_datasets(spark):
     assert [r["id"] for r in O.id_intersection(sets).collect()] == ["all"]
     got = {(r["dataset_a"], r["dataset_b"]): (r["n_ids_a"], r["n_ids_b"], r["intersection"], r["union"]) for r in O.pairwise_overlap(sets).collect()}
     assert len(got) == 70 * 69 // 2 and set(got.values()) == {(2, 2, 1, 3)}
+
+
+def test_two_stage_corrections(spark):
+    p = [0.0002, 0.001, 0.001, 0.004, 0.02, 0.03, 0.2, 0.5, 0.5, 0.9, 1.0, None]
+    n = 11
+    got = {m: [r.P_adj for r in E.adjust_p(spark.createDataFrame(list(enumerate(p)), "i int, P double"), method=m).orderBy("i").collect()] for m in ("fdr_bh", "fdr_tsbh", "fdr_tsbky", "fdr_gbs")}
+    for method, widen in (("fdr_tsbh", 1.0), ("fdr_2sbky", 1.05)):
+        hits = sum(b <= 0.05 / widen for b in got["fdr_bh"][:n])
+        assert 0 < hits < n
+        rows = E.adjust_p(spark.createDataFrame(list(enumerate(p)), "i int, P double"), method=method).orderBy("i").collect()
+        want = [min(1.0, b * widen * (n - hits) / n) for b in got["fdr_bh"][:n]]
+        assert [r.P_adj for r in rows[:n]] == pytest.approx(want) and rows[n].P_adj is None
+    top, want = 0.0, []
+    for k, x in enumerate(p[:n], 1):
+        top = max(top, (n + 1 - k) / k * x / (1 - x) if x < 1 else float("inf"))
+        want.append(min(1.0, top))
+    want[2], want[8] = want[1], want[7]
+    assert got["fdr_gbs"][:n] == pytest.approx(want)
+    none = E.adjust_p(spark.createDataFrame([(0, 0.4), (1, 0.9)], "i int, P double"), method="fdr_tsbky").orderBy("i").collect()
+    assert [r.P_adj for r in none] == pytest.approx([0.84, 0.945])
+    assert E.adjust_p(spark.createDataFrame([], "i int, P double"), method="fdr_tsbh").count() == 0
