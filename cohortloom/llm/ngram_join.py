@@ -384,6 +384,10 @@ def _dear_pairs(rows: DataFrame, pct: int) -> DataFrame:
 
     def cell(a, b):
         at = possible(a, b, pct)
+        if len(at):
+            # Each pair leaves only the cell of the first signature that both have.
+            sig, mine, theirs = a.sig.iloc[0], [set(x) for x in a.sigs], [set(x) for x in b.sigs]
+            at = at[[min(mine[i] & theirs[j]) == sig for i, j in at.tolist()]]
         return pd.DataFrame({"a": a.node.to_numpy()[at[:, 0]], "b": b.node.to_numpy()[at[:, 1]]})
 
     few, every = few.toDF(*few.columns), every.toDF(*every.columns)
@@ -429,6 +433,7 @@ def joined(docs: DataFrame, pct: int = 80, width: int = 5) -> tuple[DataFrame, D
             ids = far.select("node").union(far.select("leader")).distinct()
             items = C.stored(join.bags.join(ids, "node").mapInArrow(_itemised, "node long, item long"), "join-items")
             alone = items.groupBy("item").agg(F.min("node").alias("node"), F.count("*").alias("c")).filter("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
+            rest = rest.join(rest.groupBy("node").agg(F.collect_list("sig").alias("sigs")), "node")  # as many as a set has segments
             rest = rest.join(far, "node").join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
             join.compare(_dear_pairs(C.stored(rest, "join-cells"), pct), "dear")
     return join.sets, join.links, join.roots()
