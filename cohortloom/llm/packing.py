@@ -6,12 +6,15 @@ global offset. Pass 2 cuts at fixed windows of ``size`` ids; a document over a w
 boundary record in each window. The ids after the last full window are cut at powers of two, so no
 sequence needs padding.
 
-Null or empty text: the end id alone. Documents with equal or null doc_id are packed like others.
+``added`` maps literals to ids of their own, as the added tokens of a tokenizer file; without it such a
+literal is text like any other. Null or empty text: the end id alone. Documents with equal or null doc_id are packed like others.
 An empty table gives no pieces.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 
 import numpy as np
@@ -29,10 +32,10 @@ class Encoder:
     """Ids of the byte-level vocabulary; ``tiktoken`` reads the same vocabulary as ``tokenizers`` and is faster.
 
     A space before a word always starts a token, so texts without double spaces are encoded word by
-    word, and words are remembered.
+    word, and words are remembered. A literal of ``added`` ends the text before it and gives its id.
     """
 
-    def __init__(self, ranks_path: str | None, pattern: str | None):
+    def __init__(self, ranks_path: str | None, pattern: str | None, added: dict[str, int] | None = None):
         import base64
 
         import tiktoken
@@ -45,6 +48,9 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.whole = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
+        self.added = {t: np.array([i], "<u2").tobytes() for t, i in (added or {}).items()}
+        longest_first = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.literal = re.compile(f"({'|'.join(longest_first)})") if self.added else None
 
     def _word(self, word: str) -> bytes:
         if len(self.known) >= MEMORY:
@@ -53,6 +59,13 @@ class Encoder:
         return ids
 
     def __call__(self, text: str) -> bytes:
+        if self.literal is None or not self.literal.search(text):
+            return self._plain(text)
+        # Every second part is a literal.
+        parts = self.literal.split(text)
+        return b"".join(self.added[t] if i % 2 else self._plain(t) for i, t in enumerate(parts))
+
+    def _plain(self, text: str) -> bytes:
         if "  " in text or not text:
             return np.array(self.whole(text), "<u2").tobytes()
         known = self.known
@@ -65,14 +78,31 @@ class Encoder:
         return b"".join(out)
 
 
-def pack(docs: DataFrame, size: int = 1024, end_id: int = 0, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+def added_tokens(path: str | None = None) -> dict[str, int]:
+    """Literals and ids that the tokenizer file at ``path`` adds to its vocabulary."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(f"{VOCABULARY}.json")
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def pack(
+    docs: DataFrame,
+    size: int = 1024,
+    end_id: int = 0,
+    ranks_path: str | None = None,
+    pattern: str | None = None,
+    added: dict[str, int] | None = None,
+) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text): ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``."""
 
     def tokenise(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, at, encode = TaskContext.get().partitionId(), 0, Encoder(ranks_path, pattern)
+        part, at, encode = TaskContext.get().partitionId(), 0, Encoder(ranks_path, pattern, added)
         tail = np.array([end_id], "<u2").tobytes()
         for batch in batches:
             column = batch.column("text")

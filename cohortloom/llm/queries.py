@@ -8,7 +8,7 @@ from cohortloom.llm import common as C
 from cohortloom.llm import hard_negatives, language, sql, toxicity
 from cohortloom.llm.near_dedup import near_duplicates
 from cohortloom.llm.ngram_join import ngram_join
-from cohortloom.llm.packing import pack
+from cohortloom.llm.packing import added_tokens, pack
 from cohortloom.llm.prefix_trie import prefix_nodes
 from cohortloom.llm.substring_dedup import dedup_substrings
 from cohortloom.llm.suffix_dedup import dedup_suffixes
@@ -34,7 +34,7 @@ def op8(spark, sf):
 
 @query("op2_packing")
 def op2(spark, sf):
-    return pack(C.documents(spark, sf)).drop("ids")
+    return pack(C.documents(spark, sf), added=added_tokens()).drop("ids")
 
 
 @query("op6_warc_zip")

@@ -143,6 +143,25 @@ def test_packing_round_trip(spark, texts):
     assert got == want
 
 
+def test_op2_ids_are_those_of_the_tokenizer_file(spark, tmp_path):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    from cohortloom.llm.queries import op2
+
+    mark = "<|endoftext|>"
+    rows = [(1, f"a {mark} b"), (2, mark), (3, f"{mark}{mark} x"), (4, f"  y  {mark}\n\n z{mark[:-1]}"), (5, None), (None, "nul \0 in \0\0 it"), (7, "x" * 9000)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    own = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    want = {d: [*own.encode(t or "", add_special_tokens=False).ids, 0] for d, t in rows}
+    got = op2(spark, str(tmp_path)).toPandas()
+    assert got.length.sum() == sum(map(len, want.values()))
+    for r in got.itertuples():
+        ids = want[None if r.doc_id != r.doc_id else int(r.doc_id)]
+        assert r.doc_tokens == len(ids)
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "é" * 600
     rows = [(1, "http://a/\r\n", big), (2, "b", big), (3, None, big), (4, "d", "small"), (5, "e", "small"), (6, "f", None), (None, "g", "x" * 2000), (8, "h", "x" * 2000)]
