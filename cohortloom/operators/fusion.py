@@ -183,7 +183,7 @@ def fused_clusters(
     if n_rows <= tile_rows:
         def local(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("id")
-            lab = kernels.spectral_labels(block(pdf, pdf), np.ones(len(pdf)), ks, seed)
+            lab = kernels.spectral_labels(block(pdf, pdf), np.ones(len(pdf)), ks, seed, 0, pdf["id"].tolist())
             return pd.DataFrame({"g": 0, "id": pdf["id"].to_numpy(), "labels": list(lab.T)})
 
         out = rows.groupBy("g").applyInPandas(local, "g int, id string, labels array<int>")

@@ -14,6 +14,7 @@ from cohortloom.operators import phylo as P
 from cohortloom.operators import strength
 from cohortloom.operators import tiles as T
 from cohortloom.operators.layers import row_vectors
+from cohortloom.operators.lloyd import kmodes_rows
 from cohortloom.plans import testbed as B
 from cohortloom.plans.catalog import query
 
@@ -152,6 +153,42 @@ def assignment_confidence(spark, sf):
     )
 
 
+def _word(digest: str, at: int) -> str:
+    return f"CAST('0x' || substr({digest}, {8 * at + 1}, 8) AS BIGINT)"
+
+
+KMODES_SQL = f"""WITH RECURSIVE e AS (SELECT CAST(vec_id AS VARCHAR) AS id, [(v > 0)::INT::DOUBLE for v in embedding] AS x FROM embeddings),
+  p AS (SELECT array_to_string([v::INT for v in x], '') AS pid, x, count(*)::DOUBLE AS w, list_sum(x) AS n1 FROM e GROUP BY x),
+  h AS (SELECT *, {_word("md5(pid)", 0)} % 2147483647 AS ha, {_word("md5(pid)", 1)} % 2147483647 AS hb, {_word("md5(pid)", 2)} % 2147483647 AS hc, {_word("md5(pid)", 3)} % 2147483647 AS hd FROM p),
+  seeds AS (
+    SELECT k, t, 0 AS c, []::DOUBLE[][] AS cs FROM (SELECT unnest([2, 3]) AS k), (SELECT unnest(range(5)) AS t)
+    UNION ALL
+    SELECT k, t, c + 1, list_append(any_value(cs), arg_min(x, (r, pid))) FROM (
+      SELECT k, t, c, cs, x, pid, CASE WHEN gap > 0 THEN -ln(((ha * m + hb) % 2147483647 + ((hc * m + hd) % 2147483647 + 1) / 2147483648.0::DOUBLE) / 2147483648.0::DOUBLE) / (w * gap) ELSE 'inf'::DOUBLE END AS r FROM (
+        SELECT s.*, h.*, CASE WHEN c = 0 THEN 1 ELSE list_min([n1 + list_sum(v) - 2 * list_dot_product(x, v) for v in cs]) END AS gap, {_word("md5('42:0:' || k || ':' || t || ':' || c)", 0)} % 2147483646 + 1 AS m
+        FROM seeds s, h WHERE c < k)) GROUP BY k, t, c),
+  steps AS (
+    SELECT k, t, cs, true AS moved FROM seeds WHERE c = k
+    UNION ALL
+    SELECT k, t, nxt, nxt != cs FROM (
+      SELECT k, t, cs, list_transform(range(1, k + 1), lambda i: coalesce(list_filter(ms, lambda q: q.lab = i)[1].cv, cs[i])) AS nxt FROM (
+        SELECT k, t, any_value(cs) AS cs, list({{'lab': lab, 'cv': cv}}) AS ms FROM (
+          SELECT k, t, lab, any_value(cs) AS cs, list(CASE WHEN s1 / s0 > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY f) AS cv FROM (
+            SELECT k, t, lab, f, any_value(cs) AS cs, sum(w) AS s0, sum(w * v) AS s1 FROM (
+              SELECT k, t, cs, w, unnest(range(64)) AS f, unnest(x) AS v, list_position(gaps, list_min(gaps)) AS lab FROM (
+                SELECT k, t, cs, w, x, [n1 + list_sum(v) - 2 * list_dot_product(x, v) for v in cs] AS gaps FROM steps, h WHERE moved))
+            GROUP BY k, t, lab, f) GROUP BY k, t, lab) GROUP BY k, t))),
+  ends AS (SELECT k, t, pid, w, [n1 + list_sum(v) - 2 * list_dot_product(x, v) for v in cs] AS gaps FROM steps, h WHERE NOT moved),
+  best AS (SELECT k, arg_min(t, (cost, t)) AS t FROM (SELECT k, t, sum(w * list_min(gaps)) AS cost FROM ends GROUP BY k, t) GROUP BY k)
+  SELECT e.id, k::INTEGER AS k, (list_position(gaps, list_min(gaps)) - 1)::INTEGER AS label FROM ends JOIN best USING (k, t) JOIN e ON array_to_string([v::INT for v in e.x], '') = pid"""
+
+
+@query("kmodes_labels", KMODES_SQL)
+def kmodes_labels(spark, sf):
+    """k-modes of all sign vectors for 2 and 3 clusters, best of five starts; seeds are keyed draws that SQL repeats."""
+    return kmodes_rows(B.emb_rows(spark, sf), [2, 3])
+
+
 ALL = ["kmodes", "spectral_jaccard", "agglomerative_hamming"]
 
 
