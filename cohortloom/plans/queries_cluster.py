@@ -17,6 +17,7 @@ from cohortloom.operators.layers import row_vectors
 from cohortloom.operators.lloyd import kmodes_rows
 from cohortloom.plans import testbed as B
 from cohortloom.plans.catalog import query
+from cohortloom.plans.queries_agreement import metrics_sql
 
 POP_SQL = """e AS (SELECT CAST(vec_id AS VARCHAR) AS id, label, [(v > 0)::INT for v in embedding] AS x FROM embeddings),
   s AS (SELECT *, list_sum(x) AS n1 FROM e),
@@ -189,6 +190,90 @@ def kmodes_labels(spark, sf):
     return kmodes_rows(B.emb_rows(spark, sf), [2, 3])
 
 
+LINK_RUNS, LINK_KS = 12, (2, 3)
+
+
+def _register_traits():
+    _register()
+    C.register_algorithm("first_traits", lambda X, k, seed: (X[:, 0] + 2 * X[:, 1]).astype(int) % k, row_wise=True)
+
+
+def _traits_hist(spark, sf):
+    _register_traits()
+    rows = B.emb_rows(spark, sf)
+    n = rows.count()
+    lab = C.run_labels(rows, ["trait_sum", "first_traits"], list(LINK_KS), range(LINK_RUNS), 0.8, 42, n_rows=n)
+    return C.label_histories(lab, {C.MAIN: list(range(LINK_RUNS))}, 2, list(LINK_KS), rows), n
+
+
+# Every round merges all mutual nearest pairs of all k; the dendrogram is cut afterwards by distance and pair hash.
+def linkage_sql(sets: list[list[int]], ks) -> str:
+    """SQL of the labels ``(g, k, id, label)`` of every set of runs; inside, a group is ``100 * g + k``."""
+    return f"""WITH RECURSIVE sets AS (SELECT unnest({[g for g, rs in enumerate(sets) for _ in rs]}) AS g, unnest({[r for rs in sets for r in rs]}) AS run),
+  e AS (SELECT 100 * g + kk AS k, CAST(vec_id AS VARCHAR) AS id, [list_sum([(v > 0)::INT for v in embedding]) % kk, ((embedding[1] > 0)::INT + 2 * (embedding[2] > 0)::INT) % kk] AS l
+    FROM embeddings, (SELECT unnest({list(ks)}) AS kk), (SELECT DISTINCT g FROM sets)),
+  o AS (SELECT run, id, row_number() OVER (PARTITION BY run ORDER BY md5('42:' || run || ':' || id), id) AS r, count(*) OVER (PARTITION BY run) AS n
+    FROM (SELECT DISTINCT id FROM e), (SELECT DISTINCT run FROM sets)),
+  i AS (SELECT g, id, list(run ORDER BY run) FILTER (WHERE r <= greatest(2, floor(n * 0.8))) AS runs FROM o JOIN sets USING (run) GROUP BY g, id),
+  t AS (SELECT e.k, e.id, e.l, coalesce(i.runs, []) AS runs FROM e JOIN i ON i.id = e.id AND i.g = e.k // 100),
+  f AS (SELECT k, min(id) AS node, count(*)::DOUBLE AS w, any_value(l) AS l, any_value(runs) AS runs FROM t GROUP BY k, l, runs, CASE WHEN len(runs) = 0 THEN id END),
+  m AS (SELECT t.k, t.id, f.node FROM t JOIN f ON t.k = f.k AND t.l = f.l AND t.runs = f.runs AND (len(t.runs) > 0 OR t.id = f.node)),
+  q AS (SELECT *, (({_word("md5(node)", 0)} % 2147483647) * 2147483648 + {_word("md5(node)", 1)} % 2147483647)::UBIGINT AS key FROM f),
+  x1 AS (SELECT a.k, a.node AS a, b.node AS b, a.w AS wa, b.w AS wb, xor(a.key, b.key) AS x,
+    CASE WHEN len(list_intersect(a.runs, b.runs)) > 0 THEN ((a.l[1] = b.l[1])::INT + (a.l[2] = b.l[2])::INT) / 2.0::DOUBLE ELSE 0.0 END * a.w * b.w AS t
+    FROM q a JOIN q b ON a.k = b.k AND a.node < b.node),
+  x2 AS (SELECT * REPLACE ((xor(x, x >> 31)::UHUGEINT * 11400714819323198485::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS x) FROM x1),
+  x3 AS (SELECT * REPLACE (((xor(x, x >> 29)::UHUGEINT * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT >> 2)::BIGINT AS x) FROM x2),
+  s AS (
+    SELECT 0 AS round, false AS merged, k, a, b, wa, wb, x AS h, t, 0.0::DOUBLE AS d FROM x3
+    UNION ALL
+    (WITH p AS (SELECT k, a, b, wa, wb, h, t, round(1 - t / (wa * wb), 12) AS d, round FROM s WHERE NOT merged),
+      near AS (SELECT k, node, min((d, h)) AS best FROM (SELECT k, unnest([a, b]) AS node, d, h FROM p) GROUP BY k, node),
+      g AS (SELECT p.* FROM p JOIN near u ON u.k = p.k AND u.node = p.a AND u.best = (p.d, p.h) JOIN near v ON v.k = p.k AND v.node = p.b AND v.best = (p.d, p.h)),
+      n AS (SELECT p.k, p.round, coalesce(ga.a, p.a) AS a0, coalesce(gb.a, p.b) AS b0, wa, wb, p.a, p.b, p.h, p.t
+        FROM (SELECT k, round, a, b, wa, wb, h, t FROM p) p LEFT JOIN (SELECT k, b, a FROM g) ga ON ga.k = p.k AND ga.b = p.a LEFT JOIN (SELECT k, b, a FROM g) gb ON gb.k = p.k AND gb.b = p.b),
+      w AS (SELECT k, name, sum(w) AS w FROM (SELECT DISTINCT k, node, name, w FROM (SELECT k, a AS node, a0 AS name, wa AS w FROM n UNION ALL SELECT k, b, b0, wb FROM n)) GROUP BY k, name),
+      j AS (SELECT k, max(round) AS round, least(a0, b0) AS a, greatest(a0, b0) AS b, max(h) FILTER (WHERE a = least(a0, b0) AND b = greatest(a0, b0) OR b = least(a0, b0) AND a = greatest(a0, b0)) AS h, sum(t) AS t
+        FROM n WHERE a0 != b0 GROUP BY k, least(a0, b0), greatest(a0, b0))
+      SELECT round + 1, true, k, a, b, wa, wb, h, t, d FROM g
+      UNION ALL SELECT j.round + 1, false, j.k, j.a, j.b, u.w, v.w, j.h, j.t, 0.0 FROM j JOIN w u ON u.k = j.k AND u.name = j.a JOIN w v ON v.k = j.k AND v.name = j.b)),
+  z AS (SELECT k, a, b FROM (SELECT k, a, b, row_number() OVER (PARTITION BY k ORDER BY d, h) AS r FROM s WHERE merged) JOIN (SELECT k, count(*) AS n FROM f GROUP BY k) USING (k) WHERE r <= n - k % 100),
+  c AS (SELECT k, node, node AS root FROM f UNION ALL SELECT c.k, c.node, z.a FROM c JOIN z ON z.k = c.k AND z.b = c.root),
+  r AS (SELECT k, node, min(root) AS root FROM c GROUP BY k, node)
+  SELECT m.k // 100 AS g, (m.k % 100)::INTEGER AS k, m.id, (dense_rank() OVER (PARTITION BY m.k ORDER BY r.root))::INTEGER AS label FROM m JOIN r ON r.k = m.k AND r.node = m.node"""
+
+
+@query("consensus_labels_registered", f"SELECT k, id, label FROM ({linkage_sql([list(range(LINK_RUNS))], LINK_KS)})")
+def consensus_labels_registered(spark, sf):
+    """Average linkage of the consensus of two registered algorithms over 12 runs, cut to 2 and 3 clusters."""
+    hist, n = _traits_hist(spark, sf)
+    return C.consensus_labels(hist, 2, n).select("k", "id", "label")
+
+
+PATH_RUNS, PATH_SPLITS = 20, 2
+PATH_SQL = f"""WITH lab AS ({linkage_sql(list(C.stability_sets(PATH_RUNS, PATH_SPLITS).values()), LINK_KS)}),
+  ct AS (SELECT x.k, x.g // 2 AS split, x.label AS a, y.label AS b, count(*) AS n FROM lab x JOIN lab y ON y.k = x.k AND y.id = x.id AND x.g % 2 = 1 AND y.g = x.g + 1 GROUP BY 1, 2, 3, 4)
+  {metrics_sql("", ["k", "split"]).replace("round(vi / ln(greatest(n, 2)), 6) + 0.0 AS nvi", "vi / ln(greatest(n, 2)) AS nvi")},
+  v AS (SELECT CAST(vec_id AS VARCHAR) AS id, [(v > 0)::INT::DOUBLE for v in embedding] AS x FROM embeddings),
+  me AS (SELECT a.k, a.id, a.label, b.label AS other, sum(list_sum(v.x) + list_sum(w.x) - 2 * list_dot_product(v.x, w.x)) / 64 AS gap, count(*) FILTER (WHERE a.id != b.id) AS c
+    FROM lab a JOIN lab b ON b.k = a.k AND a.g = 0 AND b.g = 0 JOIN v ON v.id = a.id JOIN v w ON w.id = b.id GROUP BY 1, 2, 3, 4),
+  sl AS (SELECT k, id, label, max(CASE WHEN label = other THEN gap / nullif(c, 0) END) AS own, min(CASE WHEN label != other THEN gap / c END) AS near FROM me GROUP BY 1, 2, 3),
+  sk AS (SELECT k, count(DISTINCT label) AS n_labels, avg(CASE WHEN own IS NULL OR greatest(own, near) = 0 THEN 0.0 ELSE (near - own) / greatest(own, near) END) AS s FROM sl GROUP BY 1),
+  nv AS (SELECT k, avg(nvi) AS mean, stddev_pop(nvi) AS std, quantile_cont(nvi, 0.025) AS lo, quantile_cont(nvi, 0.975) AS hi FROM r GROUP BY 1)"""
+
+
+@query(
+    "stability_path_registered",
+    f"""{PATH_SQL} SELECT k, round(mean, 6) AS "NVI_Mean", round(std, 6) AS "NVI_Std", round(lo, 6) AS "NVI_CI_Lo", round(hi, 6) AS "NVI_CI_Hi",
+  round(s, 6) AS "Silhouette", n_labels::BIGINT AS n_labels FROM nv JOIN sk USING (k)""",
+)
+def stability_path_registered(spark, sf):
+    """Split-half NVI over 2 splits, silhouette and label counts of the consensus of two registered algorithms over 20 runs."""
+    _register_traits()
+    p = C.stability_path(B.emb_rows(spark, sf), list(LINK_KS), ["trait_sum", "first_traits"], PATH_RUNS, PATH_SPLITS).path
+    return p.select("k", *[F.round(c, 6).alias(c) for c in ("NVI_Mean", "NVI_Std", "NVI_CI_Lo", "NVI_CI_Hi", "Silhouette")], "n_labels")
+
+
 ALL = ["kmodes", "spectral_jaccard", "agglomerative_hamming"]
 
 
