@@ -83,7 +83,7 @@ def root_depth(tree: DataFrame, anc: DataFrame) -> DataFrame:
 
 
 def patristic(tree: DataFrame, anc: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Add ``dist`` to ``pairs(a, b)`` of node names: depths minus twice the deepest common ancestor."""
+    """``tree_distances`` from a closure ``anc`` that is there already; n x depth rows, so for shallow trees."""
     depth = root_depth(tree, anc)
     key = tree.select("node", F.coalesce("name", "node").alias("id"))
     of = anc.join(key, "node").select("id", "anc")
@@ -103,6 +103,91 @@ def patristic(tree: DataFrame, anc: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def jump_levels(tree: DataFrame) -> list[DataFrame]:
+    """Frames ``(node, up, hops, length)``: frame j leads to the 2^j-th ancestor, or to the root if it is nearer.
+
+    One join per level, log2(depth) levels of one row per node; the last one holds every node's root and depth.
+    A parent that has no row of its own is a root.
+    """
+    top = F.col("parent").isNull()
+    step = cut(
+        tree.select(
+            "node",
+            F.coalesce("parent", "node").alias("up"),
+            F.when(top, 0).otherwise(1).cast("bigint").alias("hops"),
+            F.when(top, 0.0).otherwise(F.coalesce("length", F.lit(0.0))).alias("length"),
+        )
+    )
+    levels, n = [step], step.count()
+    deepest = step.agg(F.max("hops").alias("h")).first()["h"] or 0
+    while True:
+        over = step.select(F.col("node").alias("up"), F.col("up").alias("top"), F.col("hops").alias("h2"), F.col("length").alias("l2"))
+        step = cut(
+            step.join(over, "up", "left").select(
+                "node",
+                F.coalesce("top", "up").alias("up"),
+                (F.col("hops") + F.coalesce("h2", F.lit(0))).alias("hops"),
+                (F.col("length") + F.coalesce("l2", F.lit(0.0))).alias("length"),
+            )
+        )
+        now = step.agg(F.max("hops").alias("h")).first()["h"] or 0
+        if now > n:
+            raise ValueError("the parents of the tree form a cycle")
+        if now == deepest:
+            return levels
+        levels.append(step)
+        deepest = now
+
+
+def tree_distances(tree: DataFrame, pairs: DataFrame, levels: list[DataFrame] | None = None) -> DataFrame:
+    """``(a, b, dist)`` of the pairs whose names are known and share a root, by binary lifting.
+
+    The deeper end climbs to the depth of the other, then both climb while they stay apart: one join per side
+    and level, with rows for the pairs alone. ``levels`` are the ``jump_levels`` of the tree.
+    """
+    levels = jump_levels(tree) if levels is None else levels
+    low = levels[-1].select("node", F.col("hops").alias("h"), F.col("length").alias("d"))
+    named = tree.select("node", F.coalesce("name", "node").alias("id")).join(low, "node")
+    side = lambda s: named.select(F.col("id").alias(s), *[F.col(c).alias(s + c) for c in ("node", "h", "d")])
+    deep = F.col("ah") >= F.col("bh")
+    p = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select(
+        "a",
+        "b",
+        F.when(deep, F.col("anode")).otherwise(F.col("bnode")).alias("x"),
+        F.when(deep, F.col("bnode")).otherwise(F.col("anode")).alias("y"),
+        F.abs(F.col("ah") - F.col("bh")).alias("gap"),
+        (F.col("ad") + F.col("bd")).alias("sum"),
+    )
+    for j in reversed(range(len(levels))):
+        climb = F.col("gap") >= F.lit(1 << j)
+        up = levels[j].select(F.col("node").alias("x"), F.col("up").alias("ux"))
+        p = p.join(up, "x", "left").select(
+            "a", "b", F.when(climb, F.coalesce("ux", "x")).otherwise(F.col("x")).alias("x"), "y",
+            (F.col("gap") - F.when(climb, F.lit(1 << j)).otherwise(F.lit(0))).alias("gap"), "sum",
+        )
+        p = cut(p) if j % 4 == 3 else p
+    for j in reversed(range(len(levels))):
+        ux = levels[j].select(F.col("node").alias("x"), F.col("up").alias("ux"))
+        uy = levels[j].select(F.col("node").alias("y"), F.col("up").alias("uy"))
+        apart = F.coalesce("ux", "x") != F.coalesce("uy", "y")
+        p = p.join(ux, "x", "left").join(uy, "y", "left").select(
+            "a", "b", F.when(apart, F.coalesce("ux", "x")).otherwise(F.col("x")).alias("x"),
+            F.when(apart, F.coalesce("uy", "y")).otherwise(F.col("y")).alias("y"), "sum",
+        )
+        p = cut(p) if j % 4 == 3 else p
+    one = levels[0]
+    met = p.join(one.select(F.col("node").alias("x"), F.col("up").alias("ux")), "x", "left").join(
+        one.select(F.col("node").alias("y"), F.col("up").alias("uy")), "y", "left"
+    )
+    shared = F.when(F.col("x") == F.col("y"), F.col("x")).when(
+        F.coalesce("ux", "x") == F.coalesce("uy", "y"), F.coalesce("ux", "x")
+    )
+    met = met.select("a", "b", "sum", shared.alias("node")).where(F.col("node").isNotNull())
+    return met.join(low.select("node", "d"), "node", "left").select(
+        "a", "b", (F.col("sum") - 2 * F.coalesce("d", F.lit(0.0))).alias("dist")
+    )
+
+
 def _scores(tip_edges: DataFrame, above: DataFrame, labels: DataFrame) -> DataFrame:
     """``(run, score)``: mean between- over mean within-cluster distance of ``labels(run, id, label)``.
 

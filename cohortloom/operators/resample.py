@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom.session import cut
+
 PREFIX_HEX = 3  # 16^3 = 4096 buckets per run
 
 
@@ -104,22 +106,41 @@ def half_split(ids: DataFrame, runs: int | Sequence[int], seed: int) -> DataFram
     )
 
 
+SPAN = 64  # positions of a bucket in which ranks meet labels
+
+
+def label_spans(labels: DataFrame) -> DataFrame:
+    """``(slot, lo, hi, label)``: the positions after ``lo`` up to ``hi`` of the sorted labels, one row per bucket touched.
+
+    Prefix sums inside label ranges, shifted by the totals of the ranges before; the range of a label is written
+    down before its number is used, so a replay cannot change it.
+    """
+    counts = labels.where(F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("c"))
+    counts = cut(counts.repartitionByRange("label").withColumn("part", F.spark_partition_id()))
+    # one row per partition, a number of the session
+    before = counts.groupBy("part").agg(F.sum("c").alias("t")).select(
+        "part", (F.sum("t").over(Window.orderBy("part")) - F.col("t")).alias("before")
+    )
+    inside = F.sum("c").over(Window.partitionBy("part").orderBy("label"))
+    spans = counts.withColumn("cum", inside).join(before, "part").select(
+        "label", (F.col("before") + F.col("cum") - F.col("c")).alias("lo"), (F.col("before") + F.col("cum")).alias("hi")
+    )
+    slots = F.sequence(F.floor(F.col("lo") / SPAN), F.floor((F.col("hi") - 1) / SPAN))
+    return spans.select(F.explode(slots).alias("slot"), "lo", "hi", "label")
+
+
 def permute_labels(labels: DataFrame, runs: int | Sequence[int], seed: int) -> DataFrame:
     """``(run, id, label)`` with the label multiset shuffled over the ids of each run.
 
-    The sorted label list is only ever held as one interval per distinct label,
-    so a position finds its label without joining n positions to n labels.
+    The sorted labels are intervals of positions, and ranks meet them in buckets of ``SPAN`` positions: a rank is
+    compared with the labels of its bucket alone, however many labels there are, and a label that holds a third
+    of all rows is spread over as many buckets. Null labels come after all others.
     """
-    w = Window.orderBy("label")
-    spans = (
-        labels.groupBy("label")
-        .agg(F.count("*").alias("c"))
-        .withColumn("hi", F.sum("c").over(w))
-        .agg(F.sort_array(F.collect_list(F.struct("hi", "label"))).alias("spans"))
-    )
-    order = ranked(labels.select("id"), runs, seed).withColumn("spans", spans.scalar())
-    return order.select(
-        "run",
-        "id",
-        F.expr("element_at(filter(spans, s -> rnk <= s.hi), 1).label").alias("label"),
+    order = ranked(labels.select("id"), runs, seed).withColumn("slot", F.floor((F.col("rnk") - 1) / SPAN))
+    spans = label_spans(labels)
+    found = order.join(
+        spans.withColumnRenamed("slot", "at"),
+        (F.col("slot") == F.col("at")) & (F.col("rnk") > F.col("lo")) & (F.col("rnk") <= F.col("hi")),
+        "left",
     )
+    return found.select("run", "id", "label")

@@ -418,7 +418,7 @@ def patristic_order_partners(spark, sf):
     pairs = B.table(spark, sf, "orders").select(
         F.col("o_custkey").cast("string").alias("a"), (F.col("o_orderkey") % n + 1).cast("string").alias("b")
     ).distinct()
-    return P.patristic(tree, P.ancestors(tree), pairs)
+    return P.tree_distances(tree, pairs)
 
 
 @query(

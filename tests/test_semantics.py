@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -190,6 +191,59 @@ def test_resampling_ignores_partitioning(spark):
     assert R.subsample(d.limit(2), 1, 0.1, 1).count() == 2
 
 
+def test_permuted_labels_by_buckets_of_positions(spark):
+    n = 100_000
+    many = spark.range(n).select(F.col("id").cast("string").alias("id"), F.col("id").alias("label"))  # all labels distinct
+    got = R.permute_labels(many, 1, 5)
+    assert got.agg(F.count("label"), F.count_distinct("label"), F.count_distinct("id")).first() == (n, n, n)
+    assert got.join(R.ranked(many.select("id"), 1, 5), ["run", "id"]).where("label != rnk - 1").count() == 0
+    hot = spark.range(300).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") < 200, "hot").when(F.col("id") < 290, F.col("id").cast("string")).alias("label"))
+    perm = R.permute_labels(hot, 2, 5)
+    counts = {(r["run"], r["label"]): r["count"] for r in perm.groupBy("run", "label").count().collect()}
+    assert counts[0, "hot"] == counts[1, "hot"] == 200 and counts[0, None] == counts[1, None] == 10
+    assert R.permute_labels(hot.limit(0), 2, 5).collect() == []
+
+
+def test_tree_distances(spark):
+    rng = random.Random(4)
+    parent = {0: None, 60: None} | {i: rng.randrange(i) for i in range(1, 60)} | {i: 60 for i in range(61, 64)}  # two roots
+    length = {i: rng.random() for i in parent}
+    tree = spark.createDataFrame(
+        [(f"n{i}", None if p is None else f"n{p}", length[i], f"t{i}" if i % 3 else None) for i, p in parent.items()],
+        "node string, parent string, length double, name string",
+    )
+    name = {i: f"t{i}" if i % 3 else f"n{i}" for i in parent}
+
+    def path(i):
+        out = [i]
+        while parent[out[-1]] is not None:
+            out.append(parent[out[-1]])
+        return out
+
+    want = {}
+    for i in parent:
+        for j in parent:
+            a, b = path(i), path(j)
+            if a[-1] == b[-1]:
+                want[name[i], name[j]] = sum(length[v] for v in set(a) ^ set(b))
+    pairs = spark.createDataFrame([(name[i], name[j]) for i in parent for j in parent] + [("t1", "nobody")], "a string, b string")
+    got = {(r["a"], r["b"]): r["dist"] for r in P.tree_distances(tree, pairs).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    loop = spark.createDataFrame([("a", "b", 1.0, None), ("b", "a", 1.0, None)], tree.schema)
+    with pytest.raises(ValueError, match="cycle"):
+        P.jump_levels(loop)
+
+
+def test_tree_distances_on_a_deep_ladder(spark):
+    n = 100_000
+    tree = spark.range(n).select(
+        F.col("id").cast("string").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).cast("string").alias("parent"),
+        F.lit(1.0).alias("length"), F.lit(None).cast("string").alias("name"),
+    )
+    pairs = spark.createDataFrame([("0", str(n - 1)), ("17", "70000"), ("5", "5"), ("99999", "99998")], "a string, b string")
+    assert sorted(r["dist"] for r in P.tree_distances(tree, pairs).collect()) == [0.0, 1.0, 69983.0, n - 1.0]
+
+
 def test_newick_and_purity(spark):
     rows = P.parse_newick("((A:1,'B b':2)x:3,(C:1,D:1):0.5)[note];")
     assert [(n[3], n[2]) for n in rows if n[3]] == [("x", 3.0), ("A", 1.0), ("B b", 2.0), ("C", 1.0), ("D", 1.0)]
