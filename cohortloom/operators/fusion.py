@@ -30,6 +30,15 @@ def join_views(hists: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "id"), parts)
 
 
+def view_profiles(views: DataFrame) -> DataFrame:
+    """``(id, w, s0, s1, ...)``: equal histories in every layer as one row, named by the first member.
+
+    A kernel value depends on the two histories alone, so copies have equal rows of every layer kernel.
+    """
+    sigs = [c for c in views.columns if c != "id"]
+    return views.groupBy(*sigs).agg(F.min("id").alias("id"), F.count("*").cast("double").alias("w")).select("id", "w", *sigs)
+
+
 def _layer_block(i: int, n_algos: int) -> Callable:
     return lambda r, c: consensus_block(unpack_history(r[f"s{i}"]), unpack_history(c[f"s{i}"]), n_algos)
 
@@ -43,7 +52,7 @@ def cka_table(views: DataFrame, names: Sequence[str], n_algos: int, n_rows: int,
     """``(layer_a, layer_b, hsic, cka)`` for all ordered layer pairs.
 
     Centring is algebraic: a tile contributes row sums per layer and the sums of
-    elementwise kernel products, nothing of pair size leaves it.
+    elementwise kernel products, nothing of pair size leaves it. Copies are one weighted row.
     """
     names = list(names)
     L = len(names)
@@ -54,28 +63,32 @@ def cka_table(views: DataFrame, names: Sequence[str], n_algos: int, n_rows: int,
         r = pdf[pdf["blk"] == bi]
         c = r if bi == bj else pdf[pdf["blk"] == bj]
         if not len(r) or not len(c):
-            return pd.DataFrame(columns=["id", "v"])
+            return pd.DataFrame(columns=["id", "w", "v"])
         ks = [f(r, c) for f in blocks]
-        prod = np.array([[(a * b).sum() for b in ks] for a in ks]).ravel() * (1 if bi == bj else 2)
+        wr, wc = r["w"].to_numpy(float), c["w"].to_numpy(float)
+        prod = np.array([[wr @ (a * b) @ wc for b in ks] for a in ks]).ravel() * (1 if bi == bj else 2)
         out = []
-        for d, ax in ((r, 1),) if bi == bj else ((r, 1), (c, 0)):
+        for d, side in ((r, 1),) if bi == bj else ((r, 1), (c, 0)):
             v = np.zeros((len(d), L + L * L))
-            v[:, :L] = np.stack([k.sum(ax) for k in ks], axis=1)
-            out.append(pd.DataFrame({"id": d["id"].to_numpy(), "v": list(v)}))
+            v[:, :L] = np.stack([k @ wc if side else wr @ k for k in ks], axis=1)
+            out.append(pd.DataFrame({"id": d["id"].to_numpy(), "w": d["w"].to_numpy(float), "v": list(v)}))
         out[0]["v"].iloc[0][L:] = prod
         return pd.concat(out)
 
-    n_blocks = block_count(n_rows, tile_rows)
-    parts = spread(to_tiles(views, n_blocks), 1 << 30, "bi", "bj").groupBy("bi", "bj").applyInPandas(tile, "id string, v array<double>")
-    by_id = parts.groupBy("id").agg(*[F.sum(F.element_at("v", i + 1)).alias(f"v{i}") for i in range(L + L * L)])
+    profiles = cut(view_profiles(views))
+    n_blocks = block_count(profiles.count(), tile_rows)
+    parts = spread(to_tiles(profiles, n_blocks), 1 << 30, "bi", "bj").groupBy("bi", "bj").applyInPandas(
+        tile, "id string, w double, v array<double>"
+    )
+    by_id = parts.groupBy("id").agg(F.max("w").alias("w"), *[F.sum(F.element_at("v", i + 1)).alias(f"v{i}") for i in range(L + L * L)])
     cells = [
         F.struct(
             F.lit(a).alias("layer_a"),
             F.lit(b).alias("layer_b"),
             (
                 F.sum(f"v{L + i * L + j}")
-                - 2 * F.sum(F.col(f"v{i}") * F.col(f"v{j}")) / n_rows
-                + F.sum(f"v{i}") * F.sum(f"v{j}") / (float(n_rows) * n_rows)
+                - 2 * F.sum(F.col("w") * F.col(f"v{i}") * F.col(f"v{j}")) / n_rows
+                + F.sum(F.col("w") * F.col(f"v{i}")) * F.sum(F.col("w") * F.col(f"v{j}")) / (float(n_rows) * n_rows)
             ).alias("t"),
         )
         for i, a in enumerate(names)
