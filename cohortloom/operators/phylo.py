@@ -188,15 +188,14 @@ def tree_distances(tree: DataFrame, pairs: DataFrame, levels: list[DataFrame] |
     )
 
 
-def _scores(tip_edges: DataFrame, above: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(run, score)``: mean between- over mean within-cluster distance of ``labels(run, id, label)``.
+def _scores(above: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(run, score)``: mean between- over mean within-cluster distance of ``labels(run, parent, length, label)``.
 
     Tips are counted once, under their parents; an edge above a tip has a closed form. Only counts per
     (run, parent, label) meet the edges ``above`` inner nodes.
     """
     low = cut(
-        labels.join(tip_edges, "id")
-        .groupBy("run", "parent", "label")
+        labels.groupBy("run", "parent", "label")
         .agg(F.count("*").alias("s"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("tip_length"))
     )
     size = low.groupBy("run", "label").agg(F.sum("s").alias("n"))
@@ -244,10 +243,18 @@ def phylo_purity(
     kept = labels.join(named, "id", "left_semi").select("id", "label")
     edge = tree.where(F.col("parent").isNotNull()).select(F.col("node").alias("anc"), "length")
     above = anc.join(edge, "anc").select(F.col("node").alias("parent"), F.col("anc").alias("edge"), "length")
-    runs = kept.withColumn("run", F.lit(-1).cast("bigint"))
+    # a tip's edge rides with its id, so that the permuted rows are counted where they are drawn
+    tip = named.groupBy("id").agg(F.collect_list(F.struct("parent", "length")).alias("tip"))
+    kept = cut(kept.join(tip, "id"))
+    alone = kept.where(F.size("tip") > 1).isEmpty()
+    if alone:
+        kept = kept.select("id", "label", F.col("tip")[0]["parent"].alias("parent"), F.col("tip")[0]["length"].alias("length"))
+    carry = ["parent", "length"] if alone else ["tip"]
+    runs = kept.select(F.lit(-1).cast("bigint").alias("run"), "id", "label", *carry)
     if n_perm > 0:
-        runs = runs.unionByName(permute_labels(kept, n_perm, seed))
-    score = cut(_scores(named, above, runs))
+        runs = runs.unionByName(permute_labels(kept, n_perm, seed, carry))
+    runs = runs if alone else runs.select("run", "id", "label", F.inline("tip"))
+    score = cut(_scores(above, runs))
     s0 = score.where("run = -1").agg(F.max("score").alias("s")).scalar()
     n = kept.agg(F.count("*").alias("n")).scalar()
     out = score.agg(

@@ -308,3 +308,21 @@ def test_two_stage_corrections(spark):
     none = E.adjust_p(spark.createDataFrame([(0, 0.4), (1, 0.9)], "i int, P double"), method="fdr_tsbky").orderBy("i").collect()
     assert [r.P_adj for r in none] == pytest.approx([0.84, 0.945])
     assert E.adjust_p(spark.createDataFrame([], "i int, P double"), method="fdr_tsbh").count() == 0
+
+
+def test_few_labels_are_permuted_without_ranks(spark, monkeypatch):
+    """Labels cut from the draws equal labels met by ranks, nulls included, and bring carried columns along."""
+    data = [(f"r{i}", None if i % 11 == 0 else "abc"[i % 7 % 3], i) for i in range(400)]
+    d = spark.createDataFrame(data, "id string, label string, extra int").repartition(5)
+    key = lambda t: sorted((r["run"], r["id"], r["label"] or "") for r in t.collect())
+    monkeypatch.setattr(R, "FEW_LABELS", 0)
+    want = key(R.permute_labels(d, 3, 5))
+    monkeypatch.undo()
+
+    def refuse(*a):
+        raise AssertionError("ranks of all rows")
+
+    monkeypatch.setattr(R, "ranked", refuse)
+    got = R.permute_labels(d, 3, 5, ["extra"])
+    assert key(got) == want
+    assert got.where("id != concat('r', extra)").isEmpty()
