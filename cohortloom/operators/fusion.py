@@ -7,6 +7,7 @@ stored. The weight search touches only eigenvalues and quadratic forms.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -17,10 +18,13 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators import kernels
 from cohortloom.operators.consensus import consensus_block, unpack_history
-from cohortloom.operators.spectral import spectral_labels_tiled, tile_product, top_eigen
+from cohortloom.operators.lloyd import lloyd_rows
+from cohortloom.operators.spectral import tile_product
 from cohortloom.operators.tiles import TILE_ROWS, block_count, spread, to_tiles
 from cohortloom.session import cut
 
+logger = logging.getLogger(__name__)
+
 PULL = 0.05  # fixed value: weight of the pull towards CKA-informed weights
 
 
@@ -153,56 +157,193 @@ def optimise_weights(
     inform = np.maximum(0, cka_mean)
     inform = inform / max(inform.sum(), 1e-12)
     L = len(names)
-    if n_rows <= tile_rows:
+    profiles = cut(view_profiles(views))
+    largest = profiles.count()
+    if largest <= tile_rows:
         def local(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("id")
-            mats = [_layer_block(i, n_algos)(pdf, pdf) for i in range(L)]
+            root = np.sqrt(pdf["w"].to_numpy(float))
+            mats = [_layer_block(i, n_algos)(pdf, pdf) * np.outer(root, root) for i in range(L)]
 
             def gap(w):
                 vals, vecs = np.linalg.eigh(sum(a * m for a, m in zip(w, mats)))
-                vals, vecs = vals[::-1], vecs[:, ::-1]
-                if len(vals) <= k:
-                    return float(vals[0]), np.array([vecs[:, 0] @ m @ vecs[:, 0] for m in mats])
-                quad = np.array([[vecs[:, e] @ m @ vecs[:, e] for e in (k - 1, k)] for m in mats])
-                return _quality(vals, quad, k)
+                return _ritz_gap(vals, np.array([(vecs * (m @ vecs)).sum(0) for m in mats]), k, n_rows)
 
             return pd.DataFrame({"w": [ascend(gap, inform)]})
 
-        w = np.asarray(views.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(local, "w array<double>").first()["w"])
+        one = profiles.withColumn("one", F.lit(1)).groupBy("one")
+        w = np.asarray(one.applyInPandas(local, "w array<double>").first()["w"])
     else:
-        rows = cut(views.select(F.lit(0).alias("g"), F.lit(1.0).alias("w"), "*"))
-        n_blocks = block_count(n_rows, tile_rows)
+        scaled = profiles.withColumn("f", F.sqrt("w")).withColumn("loop", F.lit(0.0)).drop("w")
+        blocks = [_layer_block(i, n_algos) for i in range(L)]
+        w, _ = _search_in_basis(scaled, blocks, lambda gap: ascend(gap, inform), n_rows, k, block_count(largest, tile_rows))
+    return sorted(zip(names, w.tolist(), cka_mean.tolist()), key=lambda t: -t[1])
+
+
+def _ritz_gap(vals: np.ndarray, quad: np.ndarray, k: int, n_rows: int) -> tuple[float, np.ndarray]:
+    """Quality of ascending eigenvalues of weighted profiles; the copies they stand for add eigenvalues of 0."""
+    spare = min(max(n_rows - len(vals), 0), k + 1)
+    vals, quad = np.append(vals, np.zeros(spare)), np.hstack([quad, np.zeros((len(quad), spare))])
+    order = np.argsort(-vals, kind="stable")
+    vals, quad = vals[order], quad[:, order]
+    if len(vals) <= k:
+        return float(vals[0]), quad[:, 0]
+    return _quality(vals, quad[:, [k - 1, k]], k)
+
+
+def _products(rows: DataFrame, blocks: Sequence[Callable], n_blocks: int) -> DataFrame:
+    """``(id, p)``: every kernel, scaled by ``f`` on both sides, times ``new``, kernel after kernel; a tile evaluates each once."""
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        bi, bj = pdf["bi"].iloc[0], pdf["bj"].iloc[0]
+        r = pdf[pdf["blk"] == bi]
+        c = r if bi == bj else pdf[pdf["blk"] == bj]
+        if not len(r) or not len(c):
+            return pd.DataFrame(columns=["id", "p"])
+        ks = [f(r, c) for f in blocks]
+        out = []
+        for a, b, flip in ((r, c, False),) if bi == bj else ((r, c, False), (c, r, True)):
+            x = np.stack(b["new"].to_list()) * b["f"].to_numpy(float)[:, None]
+            y = np.hstack([(m.T if flip else m) @ x for m in ks]) * a["f"].to_numpy(float)[:, None]
+            out.append(pd.DataFrame({"id": a["id"].to_numpy(), "p": list(y)}))
+        return pd.concat(out)
+
+    parts = spread(to_tiles(rows, n_blocks), 1 << 30, "bi", "bj").groupBy("bi", "bj").applyInPandas(tile, "id string, p array<double>")
+    cells = parts.select("id", F.posexplode("p").alias("at", "v")).groupBy("id", "at").agg(F.sum("v").alias("v"))
+    return cells.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda e: e["v"]).alias("p"))
+
+
+def _inner(state: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Inner products of all columns of the vectors in ``cols``, side by side."""
+
+    def part(batches):
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                m = np.hstack([np.stack(pdf[c].to_list()) for c in cols])
+                total = m.T @ m if total is None else total + m.T @ m
+        if total is not None:
+            yield pd.DataFrame({"at": np.arange(total.size), "v": total.ravel()})
+
+    got = state.select(*cols).mapInPandas(part, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+    size = int(round(np.sqrt(len(got))))
+    return got.sort_values("at")["v"].to_numpy().reshape(size, size)
+
+
+BASIS, PASSES, RESIDUAL = 120, 60, 1e-6
+
+
+def _search_in_basis(profiles: DataFrame, blocks: Sequence[Callable], search: Callable, n_rows: int, k: int, n_blocks: int):
+    """``search(gap)`` over weighted sums of kernels larger than a tile, and the leading ``k + 1`` vectors ``(id, v)`` at its last weights.
+
+    ``profiles`` has ``f`` (scale of a row on either side) and ``loop`` (taken off the diagonal). The products of every
+    kernel with a common basis give the eigenvalues of all weighted sums as small matrices on the driver, and the residual
+    of every eigenpair. The whole search runs on these; each pass over the tiles adds the residuals of the weights where
+    they are largest, until at all weights that the search tries the leading ``k + 1`` pairs reach ``RESIDUAL``. So the
+    passes do not grow with the number of weights tried.
+    """
+    L, dims = len(blocks), k + 3
+    sigs = [c for c in profiles.columns if c not in ("id", "f", "loop")]
+    ys = [f"y{i}" for i in range(L)]
+    start = [F.pmod(F.xxhash64(F.lit(1), F.lit(d), F.col("id")), F.lit(1 << 40)) / float(1 << 40) - 0.5 for d in range(dims)]
+    empty = F.array().cast("array<double>")
+    state = profiles.select("id", "f", "loop", *sigs, empty.alias("z"), *[empty.alias(y) for y in ys], F.array(*start).alias("new"))
+    schema = state.schema
+
+    def stepped(state: DataFrame, turn, mix) -> DataFrame:
+        """Basis times ``turn`` (none: kept), and as ``new`` the sum of basis and products times ``mix``."""
+
+        def run(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                parts = [np.stack(pdf[c].to_list()) for c in ("z", *ys)]
+                pdf = pdf.copy()
+                pdf["new"] = list(np.hstack(parts) @ mix)
+                if turn is not None:
+                    for c, m in zip(("z", *ys), parts):
+                        pdf[c] = list(m @ turn)
+                yield pdf
+
+        return state.mapInPandas(run, schema)
+
+    for _ in range(PASSES):
+        state = cut(state)
+        state = state.join(_products(state.select("id", "f", "new", *sigs), blocks, n_blocks), "id").select(
+            "id", "f", "loop", *sigs, F.concat("z", "new").alias("z"),
+            *[F.concat(y, F.zip_with(F.slice("p", i * dims + 1, dims), "new", lambda a, b: a - F.col("loop") * b)).alias(y) for i, y in enumerate(ys)], "new",
+        )
+        state = cut(state)
+        g = _inner(state, ["z", *ys])
+        m = len(g) // (L + 1)
+        cell = lambda i, j: g[i * m : (i + 1) * m, j * m : (j + 1) * m]
+        size = np.sqrt(np.maximum(np.diag(cell(0, 0)), 1e-300))
+        s, u = np.linalg.eigh(cell(0, 0) / np.outer(size, size))
+        on = s > 1e-9 * s[-1]
+        basis = (u[:, on] / np.sqrt(s[on])) / size[:, None]
+        forms = [basis.T @ (cell(0, i + 1) + cell(0, i + 1).T) @ basis / 2 for i in range(L)]
+        moved = [[basis.T @ cell(i + 1, j + 1) @ basis for j in range(L)] for i in range(L)]
+        tried = []
 
         def gap(w):
-            vecs, vals = top_eigen(rows, fused_block(list(w), n_algos), k + 1, n_blocks, 1, False)
-            pair = lambda b: np.stack(b["v"].to_list())[:, k - 1 : k + 1]
-            quad = []
-            for i in range(L):
-                y = tile_product(vecs, _layer_block(i, n_algos), n_blocks, pair, 2)
-                forms = [F.sum(F.element_at("v", k + e) * F.element_at("y", e + 1)).alias(f"q{e}") for e in (0, 1)]
-                quad.append(list(vecs.join(y, ["g", "id"]).agg(*forms).first()))
-            return _quality(np.asarray(vals[0]), np.array(quad), k)
-
-        w = ascend(gap, inform)
-    return sorted(zip(names, w.tolist(), cka_mean.tolist()), key=lambda t: -t[1])
+            vals, vecs = np.linalg.eigh(sum(a * f for a, f in zip(w, forms)))
+            top = vecs[:, ::-1][:, : k + 1]
+            image = sum(a * b * moved[i][j] for i, a in enumerate(w) for j, b in enumerate(w))
+            left = np.maximum((top * (image @ top)).sum(0) - vals[::-1][: k + 1] ** 2, 0)
+            tried.append((np.sqrt(left.max()) / max(abs(vals[-1]), 1e-300), w, vals[::-1][: k + 1], top))
+            return _ritz_gap(vals, np.array([(vecs * (f @ vecs)).sum(0) for f in forms]), k, n_rows)
+
+        w, worst = search(gap), []
+        for t in sorted(tried, key=lambda t: -t[0]):
+            if t[0] > RESIDUAL and len(worst) < 3 and all(np.abs(t[1] - o[1]).max() > 1e-3 for o in worst):
+                worst.append(t)
+        if not worst:
+            break
+        mix = []
+        for _, at, vals, top in worst:
+            c = basis @ top
+            r = np.vstack([-c * vals, *[a * c for a in at]])
+            mix.append(r / np.sqrt(np.maximum((r * (g @ r)).sum(0), 1e-300)))
+        mix, turn = np.hstack(mix), None
+        dims = mix.shape[1]
+        if m + dims > BASIS:
+            turn = basis @ np.linalg.qr(np.hstack([t[3] for t in worst]))[0]
+        state = stepped(state, turn, mix)
+    else:
+        logger.warning("eigenvalues still moved after %d passes", PASSES)
+    gap(w)
+    last = np.vstack([basis @ tried[-1][3], np.zeros((L * m, tried[-1][3].shape[1]))])
+    return w, stepped(state, None, last).select("id", F.col("new").alias("v"))
 
 
 def fused_clusters(
     views: DataFrame, weights: Sequence[float], n_algos: int, ks: Sequence[int], n_rows: int, seed: int = 42, tile_rows: int = TILE_ROWS
 ) -> DataFrame:
-    """``(k, id, label)`` of spectral clustering on the weighted kernel, for every candidate k."""
+    """``(k, id, label)`` of spectral clustering on the weighted kernel, for every candidate k. Copies are one weighted row."""
     ks, block = list(ks), fused_block(list(weights), n_algos)
-    rows = views.select(F.lit(0).alias("g"), F.lit(1.0).alias("w"), "*")
-    if n_rows <= tile_rows:
+    profiles = cut(view_profiles(views))
+    largest = profiles.count()
+    rows = profiles.select(F.lit(0).alias("g"), "*")
+    if largest <= tile_rows:
         def local(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("id")
-            lab = kernels.spectral_labels(block(pdf, pdf), np.ones(len(pdf)), ks, seed, 0, pdf["id"].tolist())
+            lab = kernels.spectral_labels(block(pdf, pdf), pdf["w"].to_numpy(float), ks, seed, 0, pdf["id"].tolist())
             return pd.DataFrame({"g": 0, "id": pdf["id"].to_numpy(), "labels": list(lab.T)})
 
         out = rows.groupBy("g").applyInPandas(local, "g int, id string, labels array<int>")
     else:
-        out = spectral_labels_tiled(rows, block, ks, seed, n_rows, tile_rows)
-    return out.select("id", F.posexplode("labels").alias("q", "label")).select(
+        n_blocks = block_count(largest, tile_rows)
+        own = tile_product(rows, block, n_blocks, lambda b: b["w"].to_numpy(float)[:, None], 1).select("id", F.element_at("y", 2).alias("own"), F.element_at("y", 1).alias("sum"))
+        degree = F.col("sum") - F.col("own")
+        scaled = profiles.join(own, "id").withColumn("scale", F.when(degree > 0, F.sqrt(degree)).otherwise(1.0))
+        scaled = cut(scaled.withColumn("f", F.sqrt("w") / F.col("scale")).withColumn("loop", F.col("own") / F.pow("scale", F.lit(2))))
+        one = np.ones(1)
+        _, vecs = _search_in_basis(scaled.drop("w", "own", "sum", "scale"), [block], lambda gap: gap(one) and one, largest, max(ks) - 1, n_blocks)
+        emb = scaled.join(vecs, "id").select(F.lit(0).alias("g"), "id", "w", F.expr("transform(v, e -> e / (sqrt(w) * scale))").alias("v"))
+        out = lloyd_rows(cut(emb), ks, seed, 10, False, largest, use_dims=True)
+    sigs = [c for c in views.columns if c != "id"]
+    named = profiles.select(F.col("id").alias("pid"), *sigs).join(out.select(F.col("id").alias("pid"), "labels"), "pid")
+    return views.join(named, sigs).select("id", F.posexplode("labels").alias("q", "label")).select(
         F.get(F.lit(ks), F.col("q")).cast("int").alias("k"), "id", "label"
     )
 
