@@ -58,7 +58,21 @@ def next_documents(keys: DataFrame) -> DataFrame:
 
 
 def terms(text: Column) -> Column:
-    return F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    """Hashes of the terms of a text, in order of the hashes."""
+    return F.sort_array(F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
+
+
+def run_starts(t: str) -> Column:
+    """Places where a run of equal values starts in a sorted array."""
+    places = F.sequence(F.lit(0), F.size(t) - 1)
+    first = F.filter(places, lambda i: (i == 0) | (F.get(F.col(t), i) != F.get(F.col(t), i - 1)))
+    return F.when(F.size(t) > 0, first).otherwise(F.array().cast("array<int>"))
+
+
+def runs(t: str, at: str) -> Column:
+    """Each value with its number, from the starts of its run."""
+    end = lambda j: F.coalesce(F.get(F.col(at), j + 1), F.size(t))
+    return F.transform(at, lambda i, j: F.struct(F.get(F.col(t), i).alias("term"), (end(j) - i).alias("n")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -66,8 +80,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), 0.0).when(F.size(a) == 0, 1.0).otherwise(same / F.size(a))
 
 
-def printed(samples: Column) -> Column:
-    return F.concat_ws("", F.transform(samples, lambda v: F.lpad(F.lower(F.hex(F.xxhash64(v).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")))
+def words(samples: Column) -> Column:
+    """32 bits of each sample, as printed."""
+    return F.transform(samples, lambda v: F.shiftright(F.shiftleft(F.xxhash64(v), 32), 32).cast("int"))
+
+
+def printed(shown: Column) -> Column:
+    return F.concat_ws("", F.transform(shown, lambda v: F.lpad(F.lower(F.hex(v.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -77,28 +96,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(F.char_length("text") / 2).cast("int")
     # Rows with one key hold one text; ``copies`` tells how many there are.
     sizes = C.stored(keyed.select("k1", "k2", half.alias("half")).groupBy("k1", "k2").agg(F.max("half").alias("half"), F.count("*").alias("copies")), "next-sizes")
-    need = sizes.join(after, ["k1", "k2"]).select(F.col("n1").alias("k1"), F.col("n2").alias("k2"), F.col("k1").alias("o1"), F.col("k2").alias("o2"), "half", F.col("copies").alias("own_copies"))
-    need = need.join(sizes.select("k1", "k2", F.col("copies").alias("next_copies")), ["k1", "k2"])
-    need = need.select("k1", "k2", "o1", "o2", "half", (F.col("own_copies") * F.col("next_copies")).alias("times"))
+    need = sizes.join(after, ["k1", "k2"]).select(F.col("n1").alias("k1"), F.col("n2").alias("k2"), F.col("k1").alias("o1"), F.col("k2").alias("o2"), "half")
     # The texts cross one exchange: as next documents they give their heads, which cross another to the documents they end.
-    heads = keyed.join(need, ["k1", "k2"]).select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), F.expr("substring(text, 1, half)").alias("head"), "times")
-    both = keyed.join(heads, ["k1", "k2"])
+    heads = keyed.join(need, ["k1", "k2"]).select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), F.expr("substring(text, 1, half)").alias("head"))
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 2) as int))"), F.col("head"))
-    both = both.select("k1", "k2", "text", edited.alias("edited"), "times")
+    both = keyed.join(heads, ["k1", "k2"]).select("k1", "k2", "text", edited.alias("edited"))
+    meta = [F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")]
     which = F.explode(F.array(F.struct(F.lit(0).alias("e"), terms(F.col("text")).alias("t")), F.struct(F.lit(1).alias("e"), terms(F.col("edited")).alias("t"))))
-    counts = both.select("k1", "k2", "times", which.alias("w")).select("k1", "k2", "times", F.col("w.e").alias("e"), F.explode("w.t").alias("term"))
-    counts = counts.groupBy("k1", "k2", "e", "term").agg((F.count("*") / F.max("times")).alias("n"))
-    drawn = counts.groupBy("k1", "k2", "e").agg(*(F.min(sample(F.col("term"), F.log("n"), k)).alias(f"s{k}") for k in range(SAMPLES)))
-    drawn = drawn.select("k1", "k2", "e", F.array(*(f"s{k}" for k in range(SAMPLES))).alias("s"))
-    prints = drawn.groupBy("k1", "k2").agg(F.max(F.when(F.col("e") == 0, F.col("s"))).alias("a"), F.max(F.when(F.col("e") == 1, F.col("s"))).alias("b"))
-    meta = both.groupBy("k1", "k2").agg(F.max(F.char_length("text")).cast("long").alias("n_chars"), F.max(F.sha2("edited", 256)).alias("edited_sha256"))
+    key = ["k1", "k2", "n_chars", "edited_sha256"]
+    rows = both.select("k1", "k2", *meta, which.alias("w")).select(*key, F.col("w.e").alias("e"), F.col("w.t").alias("t"))
+    # Terms are counted within their row, so rows of one key (equal texts) draw the same samples.
+    rows = rows.select(*key, "e", "t", run_starts("t").alias("at")).select(*key, "e", F.explode_outer(runs("t", "at")).alias("r"))
+    draws = [F.min(sample(F.col("r.term"), F.log("r.n"), k)).alias(f"s{k}") for k in range(SAMPLES)]
+    drawn = rows.groupBy(*key, "e").agg(F.count("r").alias("some"), *draws)
     none = F.array().cast("array<bigint>")
-    full = meta.join(prints, ["k1", "k2"], "left").select("k1", "k2", "n_chars", "edited_sha256", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
+    drawn = drawn.select(*key, "e", F.when(F.col("some") > 0, F.array(*(f"s{k}" for k in range(SAMPLES)))).otherwise(none).alias("s"))
+    full = drawn.groupBy(*key).agg(F.max(F.when(F.col("e") == 0, F.col("s"))).alias("a"), F.max(F.when(F.col("e") == 1, F.col("s"))).alias("b"))
+    # Samples of the edited text are not met again; what is printed of them is half as wide.
+    full = full.select("k1", "k2", "n_chars", F.unhex("edited_sha256").alias("sha"), "a", words(F.col("b")).alias("shown"), likeness(F.col("a"), F.col("b")).alias("near_edited"))
     full = C.stored(full, "fingerprints")
-    nexts = full.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("a").alias("c"))
-    full = full.join(after, ["k1", "k2"]).join(nexts, ["n1", "n2"]).join(sizes.select("k1", "k2", "copies"), ["k1", "k2"])
-    full = full.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    link = after.join(sizes.select("k1", "k2", "copies"), ["k1", "k2"])
+    nexts = full.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("a").alias("c")).join(link, ["n1", "n2"]).select("k1", "k2", "copies", "c")
+    full = full.join(nexts, ["k1", "k2"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return full.select(
-        C.doc_id_of(F.col("k1")).alias("doc_id"), "n_chars", "edited_sha256", printed(F.col("a")).alias("fingerprint"), printed(F.col("b")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"),
+        C.doc_id_of(F.col("k1")).alias("doc_id"), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), printed(words(F.col("a"))).alias("fingerprint"), printed(F.col("shown")).alias("edited_fingerprint"),
+        "near_edited", likeness(F.col("a"), F.col("c")).alias("near_next"),
     )

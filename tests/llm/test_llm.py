@@ -364,3 +364,15 @@ def test_licenses_in_long_texts_and_damaged_notices(spark):
     rows = [(1, prose(5000, 1) + " of the in the " + " ".join(notice) + " " + prose(5000, 2)), (2, " ".join(notice[:9] + ["other"] + notice[10:])), (3, "of the and the in the of the " * 300)]
     got = {(r.doc_id, r.license) for r in licenses.scan_licenses(frame(spark, rows, True)).collect()}
     assert got == {(1, "ISC"), (2, "ISC")}
+
+
+def test_fingerprints_count_terms_within_rows(spark, monkeypatch):
+    plans, stored = {}, fingerprints.C.stored
+    monkeypatch.setattr(fingerprints.C, "stored", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and stored(df, name))
+    rows = [(1, "aa bb aa"), (1, "aa bb aa"), (2, ""), (3, None), (4, "bb cc"), (None, " ")]
+    got = fingerprints.fingerprints(frame(spark, rows))
+    final = got._jdf.queryExecution().optimizedPlan().toString()
+    # No group per term, one join of the texts with their heads, and what is wide is joined once by its own key.
+    assert "term" not in " ".join(re.findall(r"Aggregate \[[^\]]*\]", plans["fingerprints"]))
+    assert plans["fingerprints"].count("substring(text") == 2 and final.count("Join") == 3
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got.collect()) == [(0, 1), (1, 8), (1, 8), (2, 0), (3, 0), (4, 5)]
