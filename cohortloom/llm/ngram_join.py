@@ -158,33 +158,37 @@ def _published(width: int, bands: Bands):
     return run
 
 
-def _shared(batches):
+def _shared(batches, carry: tuple[str, ...] = ()):
     """Of rows sorted by (sig, node): each once, if its sig has another node. One row is held back between batches."""
     import pyarrow as pa
 
-    sig, node, tied = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    names = ["sig", "node", *carry]
+    held, tied = None, False
     for batch in batches:
-        s = np.concatenate([sig, batch.column("sig").to_numpy()])
-        v = np.concatenate([node, batch.column("node").to_numpy()])
+        cols = [batch.column(c).to_numpy() for c in names]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        s, v = cols[:2]
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (v[1:] != v[:-1])
-        s, v = s[new], v[new]
+        cols = [x[new] for x in cols]
+        s = cols[0]
         if not len(s):
             continue
         same = s[1:] == s[:-1]
         back, ahead = np.concatenate([[tied], same]), np.concatenate([same, [False]])
         keep = back | ahead
         tied, keep[-1] = bool(back[-1]), False
-        yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(v[keep])], ["sig", "node"])
-        sig, node = s[-1:], v[-1:]
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in cols], names)
+        held = [x[-1:] for x in cols]
     if tied:
-        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], ["sig", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names)
 
 
-def meeting(published: DataFrame, name: str) -> DataFrame:
-    """``sig, node, g`` of the signatures that several nodes publish."""
-    rows = published.repartition("sig").sortWithinPartitions("sig", "node")
-    rows = rows.mapInArrow(_shared, "sig long, node long")
+def meeting(published: DataFrame, name: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``sig, node, g`` of the signatures that several nodes publish; ``carry``: int columns that a signature fixes."""
+    rows = published.select("sig", "node", *carry).repartition("sig").sortWithinPartitions("sig", "node")
+    rows = rows.mapInArrow(lambda batches: _shared(batches, carry), ", ".join(["sig long, node long", *(f"{c} int" for c in carry)]))
     return C.stored(rows.withColumn("g", F.col("sig").bitwiseAND(F.lit(127)).cast("int")), name)
 
 
@@ -273,12 +277,16 @@ class Join:
     def roots(self) -> DataFrame:
         return C.stored(components(self.links, "join-components"), "join-roots")
 
-    def open(self, members: DataFrame, roots: DataFrame, name: str) -> DataFrame:
-        """``sig, node, root, n, main, dear``: members of signatures that several components share."""
+    def open(self, members: DataFrame, roots: DataFrame, name: str, unsure: DataFrame | None = None) -> DataFrame:
+        """``sig, node, root, n, main, dear``: members of signatures that several components share. With nodes ``unsure`` (node, open)
+        those of the signatures that one of them has, and ``open`` for these nodes."""
         rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if unsure is not None:
+            rows = rows.join(unsure, "node", "left").withColumn("open", F.coalesce("open", F.lit(False)))
         rows = C.stored(rows.join(self.nodes.select("node", "n"), "node"), f"join-rooted-{name}")
-        part = rows.groupBy("sig", "root").agg(F.count("*").alias("m"))
-        part = part.groupBy("sig").agg(F.max_by("root", F.struct("m", "root")).alias("main"), (F.sum("m") - F.max("m")).alias("few"), F.sum("m").alias("members")).filter("few > 0")
+        part = rows.groupBy("sig", "root").agg(F.count("*").alias("m"), F.lit(True).alias("some") if unsure is None else F.max("open").alias("some"))
+        part = part.groupBy("sig").agg(F.max_by("root", F.struct("m", "root")).alias("main"), (F.sum("m") - F.max("m")).alias("few"), F.sum("m").alias("members"), F.max("some").alias("some"))
+        part = part.filter("few > 0 and some").drop("some")
         return C.stored(rows.join(part, "sig").withColumn("dear", F.col("few") > FEW), f"join-open-{name}")
 
     def fits(self, a: str, b: str) -> str:
@@ -343,7 +351,7 @@ def _deleted(bands: Bands):
                     left = np.concatenate([value[whole], value[seg[less]] - weight[less]])
                     sig = labelled(left, own[at_seg], number[at_seg], group, 1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(node[own[at_seg]]), pa.array(group[own[at_seg]].astype(np.int32)), pa.array(number[at_seg].astype(np.int64)), pa.array(sig), pa.array(z[own[at_seg]].astype(np.int64)), pa.array(hot[at_seg])], names
+                        [pa.array(node[own[at_seg]]), pa.array(group[own[at_seg]].astype(np.int32)), pa.array(number[at_seg].astype(np.int32)), pa.array(sig), pa.array(z[own[at_seg]].astype(np.int32)), pa.array(hot[at_seg])], names
                     )
 
     return run
@@ -409,18 +417,18 @@ def joined(docs: DataFrame, pct: int = 80, width: int = 5) -> tuple[DataFrame, D
     if not dear.isEmpty():
         roots = join.roots()
         lists = dear.groupBy("node").agg(F.collect_list("sig").alias("dear"))
-        less = join.bags.join(C.stored(lists, "join-dear"), "node").mapInArrow(_deleted(join.bands), "node long, g int, part long, sig long, z long, hot boolean")
+        less = join.bags.join(C.stored(lists, "join-dear"), "node").mapInArrow(_deleted(join.bands), "node long, g int, part int, sig long, z int, hot boolean")
         less = C.stored(less, "join-deletions")
-        near = join.open(meeting(less.select("sig", "node"), "join-near"), roots, "deleted")
+        near = join.open(meeting(less, "join-near", ("part",)), roots, "deleted")
         join.compare(join.cheap_pairs(near, False), "deleted")
-        bad = less.join(near.filter("dear").select("sig").distinct(), "sig", "left_semi").select("node", "g", "part").distinct().withColumn("bad", F.lit(True))
+        # All nodes of a dear signature are in ``near``, and a signature belongs to one segment.
+        bad = near.filter("dear").select("node", "g", "part").distinct().withColumn("bad", F.lit(True))
         parts = less.groupBy("node", "g", "part").agg(F.max("z").alias("z"), F.max("hot").alias("hot")).join(bad, ["node", "g", "part"], "left")
         good = parts.groupBy("node", "g").agg(F.max("z").alias("z"), F.count(F.when(~F.col("hot") & F.col("bad").isNull(), 1)).alias("good"))
         unsure = C.stored(good.filter("good < z").select("node").distinct().withColumn("open", F.lit(True)), "join-unsure")
         if not unsure.isEmpty():
             roots = join.roots()
-            rest = join.open(dear.select("sig", "node", "g"), roots, "rest").join(unsure, "node", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-            rest = C.stored(rest.join(rest.filter("open").select("sig").distinct(), "sig", "left_semi"), "join-rest")
+            rest = join.open(dear.select("sig", "node", "g"), roots, "rest", unsure)
             # Distances from a pivot: the node with most signatures here, of those that a node meets.
             degree = rest.groupBy("node").agg(F.count("*").alias("d"))
             pivots = rest.join(degree, "node").groupBy("sig").agg(F.max(F.struct("d", "node")).alias("p"))

@@ -114,3 +114,29 @@ def test_shared_rows_over_batches():
         parts = [pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows[i : i + step]]), pa.array([b for _, b in rows[i : i + step]])], ["sig", "node"]) for i in range(0, 300, step)]
         got = [x for b in ngram_join._shared(iter(parts)) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_dear_signatures_are_not_joined_back_to_their_rows(spark, monkeypatch):
+    plans, stored = {}, ngram_join.C.stored
+    monkeypatch.setattr(ngram_join.C, "stored", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and stored(df, name))
+    monkeypatch.setattr(ngram_join, "FEW", 1)
+    rng = random.Random(5)
+    base = [rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(60)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for q in rng.sample(range(60), rng.randrange(12)):
+            words[q] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs).collect()}
+    assert any(n.startswith("join-near") for n in plans) and "join-cells" in plans
+    assert not any(f"Join LeftSemi, (sig#" in p for p in plans.values())
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(56)} for _, t in rows]
+    root = list(range(40))
+    for _ in rows:
+        for i in range(40):
+            for j in range(40):
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    root[i] = min(root[i], root[j])
+    assert got == dict(enumerate(root))
