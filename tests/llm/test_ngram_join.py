@@ -140,3 +140,20 @@ def test_dear_signatures_are_not_joined_back_to_their_rows(spark, monkeypatch):
                 if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                     root[i] = min(root[i], root[j])
     assert got == dict(enumerate(root))
+
+
+def test_components_of_stars_take_one_round(spark, monkeypatch):
+    """Stars around their least node, and chains, get the least node; a star needs one round and no second one to see that it is done."""
+    from cohortloom.llm import common as C
+    from cohortloom.llm.components import components
+
+    kept, own = [], C.stored
+    monkeypatch.setattr(C, "stored", lambda df, name: kept.append(name) or own(df, name))
+    star = [(1, 7), (9, 1), (1, 8), (7, 1), (20, 30), (5, 5)]
+    got = components(spark.createDataFrame(star, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (7, 1), (8, 1), (9, 1), (20, 20), (30, 20)]
+    assert len(kept) == 5
+    chain = [(i, i + 1) for i in range(40)] + [(100, 40), (201, 200)]
+    got = components(spark.createDataFrame(chain, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(i, 0) for i in range(41)] + [(100, 0), (200, 200), (201, 200)]
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
