@@ -17,7 +17,9 @@ As every segment in which two sets differ holds a difference, a link of sizes a,
 its own bound is less than the group's H: sets and pairs that agree in fewer are left out before any set is read.
 
 Candidates are verified on their sets. Each set is first compared with the most central set that it
-meets, then only sets of different components are. Equal sets are one node from the start.
+meets, then only sets of different components are. Equal sets are one node from the start. Most candidates are far
+apart: parities of shingle hashes (2 to 4 bits per shingle), which differ in no more bits than the sets in shingles, leave these
+out exactly, so that whole sets move for few pairs.
 
 Shingles are hashes of words: 64 bits tell the shingles of one text apart, 48 of these bits compare two texts (odds of 1e-10 of
 one false match in a pair of 300 shingles each). Equal sums of two mixes count as equal sets.
@@ -43,6 +45,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 KEPT = np.uint64((1 << 64) - (1 << 16))  # six of eight bytes of a hash
 HUB = 1024  # sets compared with one copy of a set that many are compared with
+MARKS = 1 << 25  # most bits that mark the nodes whose sets are kept: 4 MB
 KEY = ["k1", "k2"]
 
 
@@ -192,7 +195,47 @@ def meeting(published: DataFrame, name: str, carry: tuple[str, ...] = ()) -> Dat
     return C.stored(rows.withColumn("g", F.col("sig").bitwiseAND(F.lit(127)).cast("int")), name)
 
 
-def _bagged(width: int):
+def sketched(row: np.ndarray, item: np.ndarray, rows: int):
+    """Parity of the shingles of each row at each of a power of two of places (64, or twice the shingles, at least), as binaries."""
+    import pyarrow as pa
+
+    n = np.bincount(row, minlength=rows)
+    bits = np.int64(64) << np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(bits)])
+    place = at[row] + (C.mix(item + np.uint64(17)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    raw = np.packbits((np.bincount(place, minlength=at[-1]) & 1).astype(bool), bitorder="little")
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(at // 8), pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def folded(parity: int, bits: int, to: int) -> int:
+    """The parities of fewer places; both numbers are powers of two."""
+    while bits > to:
+        bits //= 2
+        parity = (parity >> bits) ^ (parity & ((1 << bits) - 1))
+    return parity
+
+
+def marks(nodes: DataFrame) -> np.ndarray:
+    """Bits at the low parts of distinct nodes, in words: 16 per node, ``MARKS`` at most (then more other nodes are marked, too)."""
+    bits = 64
+    most = min(16 * nodes.count(), MARKS)
+    while bits < most:
+        bits *= 2
+    at = nodes.select(F.col("node").bitwiseAND(F.lit(bits - 1)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("marks")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["marks"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def marked(node: np.ndarray, words: np.ndarray) -> np.ndarray:
+    at = node.view(np.uint64) & np.uint64(64 * len(words) - 1)
+    return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _bagged(width: int, words: np.ndarray):
+    """The sets of the nodes that ``words`` mark."""
+
     def run(batches):
         import pyarrow as pa
 
@@ -200,8 +243,34 @@ def _bagged(width: int):
             for i, j, data, offsets in C.chunks(batch.column("text")):
                 row, item = sets_of(data, offsets, width)
                 node, n = nodes_of(row, item, j - i)
-                has = pa.array(n > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(node).filter(has), packed(row, item, j - i).filter(has)], ["node", "bag"])
+                has = (n > 0) & marked(node, words)
+                use, rows = has[row], int(has.sum())
+                row, item = (np.cumsum(has) - 1)[row[use]], item[use]
+                yield pa.RecordBatch.from_arrays([pa.array(node[has]), pa.array(n[has].astype(np.int32)), packed(row, item, rows), sketched(row, item, rows)], ["node", "size", "bag", "sketch"])
+
+    return run
+
+
+def _likely(pct: int):
+    """Pairs of a set and the hub of its group, which comes first in it, whose parities differ in as few bits as linked sets may in shingles."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        hub, own = None, None
+        for batch in batches:
+            a, b = [], []
+            for node, h, leads, size, sketch in zip(*(batch.column(c).to_pylist() for c in ("node", "hub", "leads", "size", "sketch"))):
+                bits, parity = 8 * len(sketch), int.from_bytes(sketch, "little")
+                if leads:
+                    hub, own = h, (size, bits, parity)
+                elif h == hub:
+                    to = min(bits, own[1])
+                    apart = (folded(parity, bits, to) ^ folded(own[2], own[1], to)).bit_count()
+                    if (100 + pct) * apart <= (100 - pct) * (size + own[0]):
+                        a.append(node)
+                        b.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -253,23 +322,32 @@ class Join:
         return C.stored(members.join(shared.select("node", "g"), ["node", "g"]), "join-hopeful")
 
     def hold(self, members: DataFrame) -> None:
-        """Keep the sets of the nodes that meet another one."""
-        bags = self.keyed.select("text").mapInArrow(_bagged(self.width), "node long, bag binary").dropDuplicates(["node"])
-        self.bags = C.stored(bags.join(members.select("node"), "node", "left_semi"), "join-bags")
+        """Keep the sets of the nodes that meet another one; of the others, only the few that share a mark with these are dealt out."""
+        met = C.stored(members.select("node").distinct(), "join-met")
+        bags = self.keyed.select("text").mapInArrow(_bagged(self.width, marks(met)), "node long, size int, bag binary, sketch binary").dropDuplicates(["node"])
+        self.bags = C.stored(bags.join(met, "node", "left_semi"), "join-bags")
 
-    def compare(self, pairs: DataFrame, name: str) -> None:
-        """Overlaps of the new ones of ``pairs`` (a, b: those who share b meet one copy of its set); those that reach the bar become links."""
-        pairs = pairs.filter("a <> b").select("a", "b", F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).dropDuplicates(["x", "y"])
-        if self.done is not None:
-            pairs = pairs.join(self.done, ["x", "y"], "left_anti")
-        pairs = C.stored(pairs.select("x", "y", "a", "b"), f"join-pairs-{name}")
-        self.done = pairs.select("x", "y") if self.done is None else self.done.unionByName(pairs.select("x", "y"))
+    def facing(self, pairs: DataFrame, column: str) -> DataFrame:
+        """``column`` of the sets of ``pairs`` (a, b): those who share b follow one copy of its row."""
         hubs = C.stored(pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / HUB).alias("parts")), "join-hubs")
         sides = pairs.select(F.col("a").alias("node"), F.col("b").alias("hub")).join(hubs, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.lit(False).alias("leads"))
         copies = hubs.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("leads"))
-        rows = self.bags.join(sides.unionByName(copies), "node").withColumn("size", (F.octet_length("bag") / 6).cast("int"))
-        rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("leads").desc())
-        seen = C.stored(rows.mapInArrow(_overlapped, "a long, b long, na long, nb long, both long"), f"join-overlaps-{name}")
+        rows = self.bags.select("node", "size", column).join(sides.unionByName(copies), "node")
+        return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("leads").desc())
+
+    def compare(self, pairs: DataFrame, name: str, exact: bool = False) -> None:
+        """Overlaps of the new ones of ``pairs`` (a, b) that may link, with ``exact`` of all not overlapped before; those that reach the bar become links."""
+        pairs = pairs.filter("a <> b").select("a", "b", F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).dropDuplicates(["x", "y"])
+        past = self.seen.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")) if exact else self.done
+        if past is not None:
+            pairs = pairs.join(past, ["x", "y"], "left_anti")
+        pairs = C.stored(pairs.select("x", "y", "a", "b"), f"join-pairs-{name}")
+        self.done = pairs.select("x", "y") if self.done is None else self.done.unionByName(pairs.select("x", "y"))
+        if not exact:
+            pairs = C.stored(self.facing(pairs, "sketch").mapInArrow(_likely(self.pct), "a long, b long"), f"join-likely-{name}")
+            if self.seen is not None and pairs.isEmpty():
+                return
+        seen = C.stored(self.facing(pairs, "bag").mapInArrow(_overlapped, "a long, b long, na long, nb long, both long"), f"join-overlaps-{name}")
         found = seen.filter(100 * F.col("both") >= self.pct * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
         self.links = found if self.links is None else self.links.unionByName(found)
         self.seen = seen if self.seen is None else self.seen.unionByName(seen)
@@ -417,7 +495,7 @@ def joined(docs: DataFrame, pct: int = 80, width: int = 5) -> tuple[DataFrame, D
     if not dear.isEmpty():
         roots = join.roots()
         lists = dear.groupBy("node").agg(F.collect_list("sig").alias("dear"))
-        less = join.bags.join(C.stored(lists, "join-dear"), "node").mapInArrow(_deleted(join.bands), "node long, g int, part int, sig long, z int, hot boolean")
+        less = join.bags.select("node", "bag").join(C.stored(lists, "join-dear"), "node").mapInArrow(_deleted(join.bands), "node long, g int, part int, sig long, z int, hot boolean")
         less = C.stored(less, "join-deletions")
         near = join.open(meeting(less, "join-near", ("part",)), roots, "deleted")
         join.compare(join.cheap_pairs(near, False), "deleted")
@@ -434,12 +512,12 @@ def joined(docs: DataFrame, pct: int = 80, width: int = 5) -> tuple[DataFrame, D
             pivots = rest.join(degree, "node").groupBy("sig").agg(F.max(F.struct("d", "node")).alias("p"))
             pivots = rest.join(pivots, "sig").groupBy("node").agg(F.max("p").alias("p")).select("node", F.col("p.node").alias("leader"))
             pivots = C.stored(pivots, "join-pivots")
-            join.compare(pivots.select(F.col("node").alias("a"), F.col("leader").alias("b")), "pivot")
+            join.compare(pivots.select(F.col("node").alias("a"), F.col("leader").alias("b")), "pivot", exact=True)
             far = join.seen.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), (F.col("na") + F.col("nb") - 2 * F.col("both")).alias("far"))
             far = pivots.select("node", "leader", F.greatest("node", "leader").alias("x"), F.least("node", "leader").alias("y")).join(far, ["x", "y"], "left")
             far = C.stored(far.select("node", "leader", F.coalesce("far", F.lit(0)).alias("far")), "join-far")
             ids = far.select("node").union(far.select("leader")).distinct()
-            items = C.stored(join.bags.join(ids, "node").mapInArrow(_itemised, "node long, item long"), "join-items")
+            items = C.stored(join.bags.select("node", "bag").join(ids, "node").mapInArrow(_itemised, "node long, item long"), "join-items")
             alone = items.groupBy("item").agg(F.min("node").alias("node"), F.count("*").alias("c")).filter("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
             rest = rest.join(rest.groupBy("node").agg(F.collect_list("sig").alias("sigs")), "node")  # as many as a set has segments
             rest = rest.join(far, "node").join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))

@@ -157,3 +157,67 @@ def test_components_of_stars_take_one_round(spark, monkeypatch):
     got = components(spark.createDataFrame(chain, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == [(i, 0) for i in range(41)] + [(100, 0), (200, 200), (201, 200)]
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_shingles():
+    r = np.random.default_rng(7)
+    for n in [*range(1, 70), 100, 333, 1024, 5000]:
+        for m in (n, n + n // 4, 3 * n):
+            same = int(r.integers(0, n + 1))
+            x = np.unique(r.integers(1, 1 << 62, n + m).astype(np.uint64) & ngram_join.KEPT)
+            a, b = x[:n], np.concatenate([x[:same], x[n : n + m - same]])
+            row = np.repeat([0, 2], [len(a), len(b)])
+            raw = ngram_join.sketched(row, np.concatenate([a, b]), 3).to_pylist()
+            assert len(raw[1]) == 8 and not any(raw[1])
+            bits = [8 * len(s) for s in raw]
+            assert bits[0] >= max(64, 2 * len(a)) and bits[0] <= max(64, 4 * len(a))
+            p, q = (ngram_join.folded(int.from_bytes(raw[i], "little"), bits[i], min(bits[0], bits[2])) for i in (0, 2))
+            assert (p ^ q).bit_count() <= len(np.setxor1d(a, b))
+            assert same < n or m > n or p == q
+
+
+def test_only_sets_that_may_link_are_overlapped(spark, monkeypatch):
+    """Texts that share passages but are far apart, and others: only near ones are overlapped."""
+    kept, own = Counter(), ngram_join.C.stored
+
+    def stored(df, name):
+        out = own(df, name)
+        kept[name] += out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join.C, "stored", stored)
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(10**6)}"
+    rows = [" ".join(word() for _ in range(50)) for _ in range(300)]
+    shared = [word() for _ in range(150)]
+    far = [" ".join([*shared, *(word() for _ in range(100))]) for _ in range(14)]
+    near = [" ".join([*shared, *(f"n{k}" for k in range(100)), f"x{i}"]) for i in range(3)]
+    rows = list(enumerate(rows + far + near))
+    assert found(spark, rows) == brute(rows)
+    overlaps = sum(c for n, c in kept.items() if n.startswith("join-overlaps"))
+    assert sum(c for n, c in kept.items() if n.startswith("join-pairs")) > 20 and overlaps <= 3
+
+
+def test_sets_without_a_mark_stay():
+    import pyarrow as pa
+
+    texts = pa.array([f"some text number {i} of a few words" for i in range(40)] + ["", " "])
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    every = pa.Table.from_batches(ngram_join._bagged(5, np.full(2, -1, np.int64).view(np.uint64))(iter([batch])))
+    assert every.num_rows == 40 and set(every["size"].to_pylist()) == {4}
+    words = np.zeros(1 << 14, np.uint64)
+    for x in every["node"].to_numpy()[[3, 8]].view(np.uint64):
+        at = int(x) % (64 * len(words))
+        words[at // 64] |= np.uint64(1 << at % 64)
+    some = pa.Table.from_batches(ngram_join._bagged(5, words)(iter([batch])))
+    assert some.to_pylist() == every.take([3, 8]).to_pylist()
+
+
+def test_marks_hold_all_nodes(spark, monkeypatch):
+    node = np.random.default_rng(2).integers(-(1 << 63), 1 << 63, 3000, np.int64)
+    for most in (ngram_join.MARKS, 256):
+        monkeypatch.setattr(ngram_join, "MARKS", most)
+        words = ngram_join.marks(spark.createDataFrame([(int(x),) for x in node[:1500]], "node long").distinct())
+        assert 64 * len(words) <= max(most, 64) and ngram_join.marked(node[:1500], words).all()
+        assert most == 256 or ngram_join.marked(node[1500:], words).mean() < 0.2
+    assert not ngram_join.marked(node, ngram_join.marks(spark.createDataFrame([], "node long"))).any()
