@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortloom.operators.linkage import agglomerate_rows
 from cohortloom.operators.resample import half_split
 from cohortloom.operators.tiles import TILE_ROWS, pack_bits, width
+from cohortloom.session import cut
 
 
 def prediction_strength(
@@ -34,7 +35,8 @@ def prediction_strength(
         .join(profiles, "pid")
         .select("g", F.col("pid").alias("id"), "w", "bits", "x")
     )
-    lab = agglomerate_rows(work.select("g", "id", "w", "bits"), p, ks, tile_rows)
+    work = cut(work)
+    lab = cut(agglomerate_rows(work.select("g", "id", "w", "bits"), p, ks, tile_rows))
     lab = lab.select("g", "id", F.posexplode("labels").alias("q", "label")).withColumn("k", F.get(F.lit(ks), F.col("q")))
     size = lab.join(work.select("g", "id", "w"), ["g", "id"]).groupBy("g", "k", "label").agg(F.sum("w").alias("n"))
     ones = (
